@@ -40,6 +40,8 @@ LIFT = 1.4
 MIN_GAIN, MIN_LEAD = 1.2, 0.7
 #: Units that make a subject.
 MIN_UNITS = 2
+#: A subject with a single unit is accepted if no other has one and the unit is at least this share of the post.
+LONE_SHARE = 1 / 8
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _UNIT = re.compile(r"\n+|(?<=[.!?…。！？।])[\"”»’)\]]*\s+|(?<=[a-z0-9][.!?])(?=[A-Z])|(?<=[。！？।])")
@@ -66,6 +68,8 @@ def units_of(text: str) -> list[list[str]]:
         tokens = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(piece.lower())]
         if not tokens:
             continue
+        if 2 * tokens.count("0") >= len(tokens):  # rows of tables
+            tokens = [t for t in tokens if t != "0"]
         size = sum(map(len, tokens))
         if piece.isascii():
             foreign = sum(t in FOREIGN for t in tokens) > sum(t in ENGLISH for t in tokens)
@@ -204,7 +208,7 @@ def gains(grams: Grams, ratios: np.ndarray, texts: list[str]) -> Iterator[np.nda
 def accepted(gain: np.ndarray, min_gain: float = MIN_GAIN, min_lead: float = MIN_LEAD, min_units: int = MIN_UNITS, lone: bool = True) -> dict[int, int]:
     """Subjects of a post and the units that each wins.
 
-    A subject with min_units units is accepted; with one unit it is only if no other subject has any (lone).
+    A subject with min_units units is accepted; with one unit it is only if no other subject has any and the post is short (lone).
     """
     if not len(gain):
         return {}
@@ -213,7 +217,7 @@ def accepted(gain: np.ndarray, min_gain: float = MIN_GAIN, min_lead: float = MIN
     rest = np.partition(gain, -2, axis=1)[:, -2] if gain.shape[1] > 1 else np.zeros(len(gain))
     won = Counter(best[(top >= min_gain) & (top - rest >= min_lead)].tolist())
     found = {s: n for s, n in won.items() if n >= min_units}
-    if lone and not found and len(won) == 1:
+    if lone and not found and len(won) == 1 and LONE_SHARE * len(gain) <= 1:
         return dict(won)
     return found
 
