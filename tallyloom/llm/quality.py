@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ranges import running_sums
-from tallyloom.session import table
+from tallyloom.session import cut, table
 
 #: Common words of a language: so many by the number of documents that hold them, from at least so many documents.
 COMMON, COMMON_DOCS = 150, 5
@@ -86,6 +86,10 @@ def _symbol(c: str) -> bool:
     return not (c.isalnum() or c.isspace() or c in _PLAIN or unicodedata.category(c)[0] == "M")
 
 
+def symbols_in(text: str) -> int:
+    return sum(text.count(c) for c in set(text) if _symbol(c))
+
+
 @lru_cache(200_000)
 def _syllables(word: str) -> bool:
     return len(word) > 1 and bool(_SYLLABLES.match(word))
@@ -240,7 +244,7 @@ def statistics(posts: DataFrame, lang_codes: DataFrame, text: str = "body_for_an
             if rows:
                 yield pd.DataFrame(rows, columns=["author", "permlink", "lang", *_COUNTS, *_SHARES])
 
-    return texts.mapInPandas(run, _SCHEMA).distinct()
+    return cut(texts.mapInPandas(run, _SCHEMA).distinct())  # small rows, used several times below
 
 
 def outlier_scores(stats: DataFrame) -> DataFrame:
