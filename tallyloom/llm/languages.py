@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.quality import _WORD, _solid, is_junk, symbols_in
+from tallyloom.llm.sentences import BEFORE_NUMBER, MAYBE_LAST, NEVER_LAST
 from tallyloom.session import table
 
 #: Bound of the training sample: posts of each label.
@@ -34,15 +35,23 @@ PRIOR = 0.1
 #: A language stays if so many sentences, and this share of those labelled so, keep it.
 LEAST_SENTENCES, LEAST_KEPT = 6, 0.3
 #: The network: units of each direction, bytes of a training window, batch, steps, learning rate.
-HIDDEN, WINDOW, BATCH, STEPS, RATE = 24, 72, 128, 700, 0.01
+HIDDEN, WINDOW, BATCH, STEPS, RATE = 24, 72, 128, 1000, 0.01
 #: Rows of bytes run through the network at once.
 ROWS = 1024
-#: Cost in nats of a change of language between sentences, and letters at which a sentence's evidence is full.
-SWITCH, FULL = 3.0, 40
-
-_BREAK = re.compile(r"\n+|(?<=[.!?…])[\"”»’)\]]*\s+|(?<=[。！？।؟۔])[」』”]*|(?<=[^\W\d_A-Z][.!?])(?=[A-ZÀ-Þ])")
+#: Cost in nats of a change of language between sentences, and bytes at which a sentence's evidence is full.
+SWITCH, FULL = 5.0, 48
+
+_BREAK = re.compile(
+    r"\n+|(?<=[.!?…])[\"”»’)\]]*\s+|(?<=[。！？।؟۔])[」』”]*|(?<=[^\W\d_A-Z][.!?])(?=[A-ZÀ-Þ])|(?<=[\U0001f000-\U0001faff☀-➿])\s+"
+    r"|(?<=[฀-໿])\s+(?=[^\W\d_])|(?<=[^\W_])\s+(?=[฀-໿])"
+)
+#: A sentence goes on after these, with a dot.
+_OPEN = frozenset(w.split(".")[-1] for w in (*NEVER_LAST, *BEFORE_NUMBER, *MAYBE_LAST)) - {"", "no"} | {"no"}
+_LAST = re.compile(r"(?:^|[^\w])([^\W\d_]+|\d{1,2})\.$")
 _NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#@$][\w-]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|invalid|test|com|org|net|io)\S*")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_ENDS = re.compile(r"[.!?…。！？।؟۔][\"”»’)\]」』]*\s*$")
+#: Lines of at most so many words without an end mark are items; those in a row are judged together.
+ITEM_WORDS = 6
 _MARKS = re.compile(r"[^\w\s̀-ͯऀ-ॿ฀-໿'’]|[\d_]")
 _TAG = re.compile(r"<[^>\n]{1,200}>|!\[[^\]\n]*\]\([^)\s]*\)|\]\([^)\s]*\)")
 # Three-letter codes besides those of the table, and placeholders.
@@ -72,16 +81,38 @@ def reduced(sentence: str) -> str:
 
 def sentences_of(text: str) -> list[tuple[str, int]]:
     """(reduced sentence, its characters) for each readable sentence, in reading order."""
-    out = []
+    out: list[tuple[str, int]] = []
+    items = False
     for line in text.split("\n"):
         if not line.strip():
             continue
         words = _WORD.findall(line)
         if is_junk(line, [w.lower() for w in words], symbols_in(line), _solid(line)):
             continue
+        if len(words) <= ITEM_WORDS and not _ENDS.search(line) and all(w.isascii() for w in words):
+            if r := reduced(line):
+                n = _solid(_NOISE.sub("", line))
+                if items:
+                    out[-1] = (f"{out[-1][0]} {r}", out[-1][1] + n)
+                else:
+                    out.append((r, n))
+                items = True
+            continue
+        items = False
+        before = ""
         for s in _BREAK.split(line):
-            if s and (r := reduced(s)):
-                out.append((r, _solid(_NOISE.sub("", s))))
+            if not s:
+                continue
+            whole = f"{before} {s}" if before else s
+            end = _LAST.search(s)
+            if end and (len(end[1]) == 1 or end[1].isdigit() or end[1].lower() in _OPEN):
+                before = whole
+                continue
+            before = ""
+            if r := reduced(whole):
+                out.append((r, _solid(_NOISE.sub("", whole))))
+        if before and (r := reduced(before)):
+            out.append((r, _solid(_NOISE.sub("", before))))
     return out
 
 
@@ -270,9 +301,9 @@ def classify(net: Network, sentences: list[str]) -> np.ndarray:
     return out[back]
 
 
-def stretches(logp: np.ndarray, letters: list[int]) -> list[int]:
+def stretches(logp: np.ndarray, sizes: list[int]) -> list[int]:
     """The class of each sentence on the best path, where a change of class costs SWITCH."""
-    emit = logp * (np.minimum(letters, FULL) / 4.0)[:, None]
+    emit = logp * (np.minimum(sizes, FULL) / 6.0)[:, None]
     score, back = emit[0], []
     for e in emit[1:]:
         best = int(score.argmax())
@@ -356,7 +387,7 @@ def find_languages(posts: DataFrame, lang_codes: DataFrame, text: str = "body_cl
                 at += len(ss)
                 if not ss:
                     continue
-                path = stretches(own, [len(_NOT_LETTERS.sub("", s)) for s, _ in ss])
+                path = stretches(own, [len(s.encode()) - s.count(" ") for s, _ in ss])
                 sure = np.exp(own)
                 sizes: Counter = Counter()
                 runs: list[list] = []
