@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import lines, mixing, packing, quality, sampling, sentences, spam
+from tallyloom.llm import languages, lines, mixing, packing, quality, sampling, sentences, spam, subjects, toxicity
 
-_MODULES = (sampling, sentences, lines, quality, packing, mixing, spam)
+_MODULES = (subjects, languages, sampling, toxicity, sentences, lines, quality, packing, mixing, spam)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
