@@ -33,6 +33,8 @@ LABELS, UNLABELLED = 4_000, 2_500
 FEATURES, ROUNDS, STEPS, RATE, DECAY = 1 << 18, 3, 80, 0.15, 2e-6
 #: Weight of the risk on passed posts beside the positive-unlabelled risk.
 PASSED = 0.3
+#: A sentence is of each kind whose logit is at most so far below that of its likeliest kind.
+RIVAL = 4.0
 #: Bounds of the class prior among sentences.
 PRIOR_LEAST, PRIOR_MOST = 2e-4, 0.03
 
@@ -215,7 +217,9 @@ def train(texts: list[str], labels: list[set[str] | None]) -> dict[str, tuple[np
 
 
 def _threshold(bags: Bags, score: np.ndarray, in_bags: np.ndarray, passed: np.ndarray, n_posts: int) -> float:
-    """The logit that best parts confirmed from passed posts, in the middle of the best stretch, between -2 and 2."""
+    """The logit that best parts confirmed from passed posts, in the middle of the best stretch.
+
+    The fewer posts are confirmed the less can a low logit be trusted, so the search begins higher."""
 
     def tops(of: np.ndarray) -> np.ndarray:
         top = np.full(n_posts, -np.inf)
@@ -223,7 +227,7 @@ def _threshold(bags: Bags, score: np.ndarray, in_bags: np.ndarray, passed: np.nd
         return top[np.unique(bags.post[of])]
 
     on, off = tops(in_bags), tops(passed) if passed.any() else np.zeros(0)
-    grid = np.linspace(-2, 2, 41)
+    grid = np.linspace(-5 + 5 / np.sqrt(max(1.0, len(on) / 10)), 2, 71)
     f1 = np.array([2 * (on >= t).sum() / max(1, (on >= t).sum() + (off >= t).sum() + len(on)) for t in grid])
     return float(np.median(grid[f1 >= f1.max() - 0.002]))
 
@@ -275,6 +279,7 @@ def score_posts(posts: DataFrame, labels: DataFrame, text: str = "body_for_analy
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 ids = np.fromiter((i for f in each for i in f), np.int64, int(size.sum()))
                 z = np.add.reduceat(weights[ids], start, axis=0) / np.sqrt(size)[:, None] + bias
+                z = np.where(z < z.max(axis=1, keepdims=True) - RIVAL, -30.0, z)
                 np.maximum.at(top, np.array(post), z[np.array(index)].astype(np.float32))
             n = len(KINDS)
             yield pd.DataFrame(
