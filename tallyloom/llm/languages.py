@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.quality import _WORD, _solid, is_junk, symbols_in
+from tallyloom.llm.samples import SPARE, unit_hash
 from tallyloom.llm.sentences import BEFORE_NUMBER, MAYBE_LAST, NEVER_LAST
 from tallyloom.session import table
 
@@ -332,7 +333,10 @@ def training_sentences(posts: DataFrame, codes: dict[str, str], text: str) -> tu
     label = F.coalesce(F.try_element_at(as_code, F.col("label")), F.try_element_at(as_code, F.get(F.split("label", "[-_ ]"), F.lit(0))))
     rows = rows.withColumn("code", label).where("code is not null").drop("label")
     totals = {r.code: r["count"] for r in rows.groupBy("code").count().collect()}  # at most one row for each code
-    pick = Window.partitionBy("code").orderBy(F.xxhash64("author", "permlink", F.lit(11)), "text")
+    share = F.create_map(*(F.lit(x) for c, n in totals.items() for x in (c, min(1.0, SPARE * POSTS_OF_LABEL / n)))) if totals else None
+    if totals:  # so that no task sorts more texts than the sample needs
+        rows = rows.where(unit_hash(11, "author", "permlink") < F.try_element_at(share, F.col("code")))
+    pick = Window.partitionBy("code").orderBy(unit_hash(11, "author", "permlink"), "author", "permlink", "text")
     sample = rows.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= POSTS_OF_LABEL).drop("r").collect()
     langs = sorted(totals)
     order = {c: k for k, c in enumerate(langs)}

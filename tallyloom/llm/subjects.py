@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
+from tallyloom.llm.samples import lowest_by_hash
 from tallyloom.session import table
 
 #: Bounds of the training sample: posts read by raters, and posts with a usable category.
@@ -243,17 +244,18 @@ def calibrate(gain: list[np.ndarray], labels: list[set[int]]) -> dict:
 def sample(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str) -> tuple[list[str], list[list[list[str]]], list[dict[int, float]], list[set[int]]]:
     """The bounded training sample: (subjects, units of each post, labels with trust, raters' labels)."""
     names = sorted(r[0] for r in subjects.select(fold(F.col("subject"))).distinct().collect() if r[0])  # the table of subjects
-    pick = F.xxhash64("author", "permlink", F.lit(7))
     known = F.lit(",".join(["", *names, ""]))
     rated = labels.select("author", "permlink", fold(F.col("subject")).alias("subject")).where(
         F.col("author").isNotNull() & F.col("permlink").isNotNull() & F.instr(known, F.concat(F.lit(","), F.col("subject"), F.lit(","))).cast("boolean")
     )
-    rated = rated.groupBy("author", "permlink").agg(F.collect_set("subject").alias("rated")).orderBy(pick).limit(RATED)
+    rated = rated.groupBy("author", "permlink").agg(F.sort_array(F.collect_set("subject")).alias("rated"))
+    rated = lowest_by_hash(rated, ["author", "permlink"], RATED, 7)
     rows = posts.where(f"author is not null and permlink is not null and {text} is not null").select(
         "author", "permlink", F.col(text).alias("text"), F.regexp_replace(fold(F.col("category")), r"[\s-]", "_").alias("category")
     )
     with_raters = rows.join(F.broadcast(rated), ["author", "permlink"]).dropDuplicates(["author", "permlink"])
-    by_category = rows.where(F.instr(known, F.concat(F.lit(","), F.col("category"), F.lit(","))) > 0).orderBy(pick, "text").limit(CATEGORISED)
+    by_category = rows.where(F.instr(known, F.concat(F.lit(","), F.col("category"), F.lit(","))) > 0)
+    by_category = lowest_by_hash(by_category, ["author", "permlink"], CATEGORISED, 7)
     texts, own, raters, seen = [], [], [], set()
     order = {s: k for k, s in enumerate(names)}
     for r in with_raters.collect():

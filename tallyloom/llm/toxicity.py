@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
+from tallyloom.llm.samples import lowest_by_hash
 from tallyloom.session import table
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -234,15 +235,14 @@ def _threshold(bags: Bags, score: np.ndarray, in_bags: np.ndarray, passed: np.nd
 
 def sample(posts: DataFrame, labels: DataFrame, text: str) -> tuple[list[str], list[set[str] | None]]:
     """Texts of the bounded sample and their labels."""
-    pick = F.xxhash64("author", "permlink", F.lit(23))
     kind = fold(F.col("kind"))
     rows = labels.where("author is not null and permlink is not null").select("author", "permlink", kind.alias("kind"))
-    rows = rows.where(F.col("kind").isin(*KINDS, "none")).groupBy("author", "permlink").agg(F.collect_set("kind").alias("kinds"))
-    rows = rows.orderBy(pick).limit(LABELS)
+    rows = rows.where(F.col("kind").isin(*KINDS, "none")).groupBy("author", "permlink").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    rows = lowest_by_hash(rows, ["author", "permlink"], LABELS, 23)
     own = posts.where(f"author is not null and permlink is not null and {text} is not null").select("author", "permlink", F.col(text).alias("text"))
     known = own.join(F.broadcast(rows), ["author", "permlink"]).dropDuplicates(["author", "permlink"]).collect()
     seen = {(r.author, r.permlink) for r in known}
-    others = own.orderBy(pick, "text").limit(UNLABELLED).collect()
+    others = lowest_by_hash(own, ["author", "permlink"], UNLABELLED, 29).collect()
     texts, marks = [r.text for r in known], [set(r.kinds) - {"none"} for r in known]
     for r in others:
         if (r.author, r.permlink) not in seen:
