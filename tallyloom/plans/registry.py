@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("posts", "claims")
 
 
 def query(name: str, sql: str | None = None):
@@ -20,3 +22,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tallyloom.plans.{m}")
