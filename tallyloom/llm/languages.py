@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.quality import _WORD, _solid, is_junk, symbols_in
+from tallyloom.llm.quality import _WORD, _solid, _symbol, is_junk
 from tallyloom.llm.samples import SPARE, unit_hash
 from tallyloom.llm.sentences import BEFORE_NUMBER, MAYBE_LAST, NEVER_LAST
 from tallyloom.session import table
@@ -36,16 +36,16 @@ PRIOR = 0.1
 #: A language stays if so many sentences, and this share of those labelled so, keep it.
 LEAST_SENTENCES, LEAST_KEPT = 6, 0.3
 #: The network: units of each direction, bytes of a training window, batch, steps, learning rate.
-HIDDEN, WINDOW, BATCH, STEPS, RATE = 24, 72, 128, 1000, 0.01
+HIDDEN, WINDOW, BATCH, STEPS, RATE = 16, 72, 128, 1000, 0.01
 #: Rows of bytes run through the network at once.
 ROWS = 1024
 #: Cost in nats of a change of language between sentences, and bytes at which a sentence's evidence is full.
 SWITCH, FULL = 5.0, 48
 
-_BREAK = re.compile(
-    r"\n+|(?<=[.!?…])[\"”»’)\]]*\s+|(?<=[。！？।؟۔])[」』”]*|(?<=[^\W\d_A-Z][.!?])(?=[A-ZÀ-Þ])|(?<=[\U0001f000-\U0001faff☀-➿])\s+"
-    r"|(?<=[฀-໿])\s+(?=[^\W\d_])|(?<=[^\W_])\s+(?=[฀-໿])"
-)
+# Each case begins with the mark, so that nothing is tried at other characters.
+_CUT = re.compile(r"[.!?…][\"”»’)\]]*\s+|[。！？।؟۔][」』”]*|(?<=[^\W\d_A-Z])[.!?](?=[A-ZÀ-Þ])|[\U0001f000-\U0001faff☀-➿️]\s+")
+_UNMARKED = re.compile(r"(?<=[฀-໿])\s+(?=[^\W\d_])|(?<=[^\W_])\s+(?=[฀-໿])")
+_THAI = re.compile(r"[฀-໿]")
 #: A sentence goes on after these, with a dot.
 _OPEN = frozenset(w.split(".")[-1] for w in (*NEVER_LAST, *BEFORE_NUMBER, *MAYBE_LAST)) - {"", "no"} | {"no"}
 _LAST = re.compile(r"(?:^|[^\w])([^\W\d_]+|\d{1,2})\.$")
@@ -54,6 +54,8 @@ _ENDS = re.compile(r"[.!?…。！？।؟۔][\"”»’)\]」』]*\s*$")
 #: Lines of at most so many words without an end mark are items; those in a row are judged together.
 ITEM_WORDS = 6
 _MARKS = re.compile(r"[^\w\s̀-ͯऀ-ॿ฀-໿'’]|[\d_]")
+# What a link, tag or address has in it.
+_SIGNS = ("://", "www.", "#", "@", "$", ".example", ".invalid", ".test", ".com", ".org", ".net", ".io")
 _TAG = re.compile(r"<[^>\n]{1,200}>|!\[[^\]\n]*\]\([^)\s]*\)|\]\([^)\s]*\)")
 # Three-letter codes besides those of the table, and placeholders.
 OTHER_CODES = {"ger": "deu", "fre": "fra", "chi": "zho", "dut": "nld", "cze": "ces", "per": "fas", "cmn": "zho", "iw": "heb", "in": "ind"}
@@ -70,9 +72,8 @@ def normal_code(label: str | None, codes: dict[str, str]) -> str | None:
 
 
 def reduced(sentence: str) -> str:
-    """Letters of a sentence that carry language: no links, tags, digits, marks, nor names inside the sentence."""
-    s = _MARKS.sub(" ", _NOISE.sub(" ", _TAG.sub(" ", sentence)))
-    words = s.split()
+    """Letters of a sentence without links that carry language: no digits, marks, nor names inside the sentence."""
+    words = _MARKS.sub(" ", sentence).split()
     if not words:
         return ""
     if any(w.islower() for w in words):
@@ -83,37 +84,46 @@ def reduced(sentence: str) -> str:
 def sentences_of(text: str) -> list[tuple[str, int]]:
     """(reduced sentence, its characters) for each readable sentence, in reading order."""
     out: list[tuple[str, int]] = []
+    if "<" in text or "](" in text:
+        text = _TAG.sub(" ", text)
+    if any(x in text for x in _SIGNS):
+        text = _NOISE.sub(" ", text)
+    odd = [c for c in set(text) if _symbol(c)]
     items = False
     for line in text.split("\n"):
-        if not line.strip():
+        solid = _solid(line)
+        if not solid:
             continue
-        words = _WORD.findall(line)
-        if is_junk(line, [w.lower() for w in words], symbols_in(line), _solid(line)):
+        words = _WORD.findall(line.lower())
+        if not words or is_junk(line, words, sum(map(line.count, odd)) if odd else 0, solid):
             continue
-        if len(words) <= ITEM_WORDS and not _ENDS.search(line) and all(w.isascii() for w in words):
+        if len(words) <= ITEM_WORDS and line.isascii() and not _ENDS.search(line):
             if r := reduced(line):
-                n = _solid(_NOISE.sub("", line))
                 if items:
-                    out[-1] = (f"{out[-1][0]} {r}", out[-1][1] + n)
+                    out[-1] = (f"{out[-1][0]} {r}", out[-1][1] + solid)
                 else:
-                    out.append((r, n))
+                    out.append((r, solid))
                 items = True
             continue
         items = False
         before = ""
-        for s in _BREAK.split(line):
+        cut = _CUT.sub("\\g<0>\0", line)
+        if _THAI.search(line):
+            cut = _UNMARKED.sub("\0", cut)
+        for s in cut.split("\0"):
+            s = s.rstrip()
             if not s:
                 continue
             whole = f"{before} {s}" if before else s
-            end = _LAST.search(s)
+            end = _LAST.search(s) if s[-1] == "." else None
             if end and (len(end[1]) == 1 or end[1].isdigit() or end[1].lower() in _OPEN):
                 before = whole
                 continue
             before = ""
             if r := reduced(whole):
-                out.append((r, _solid(_NOISE.sub("", whole))))
+                out.append((r, _solid(whole)))
         if before and (r := reduced(before)):
-            out.append((r, _solid(_NOISE.sub("", before))))
+            out.append((r, _solid(before)))
     return out
 
 
@@ -304,6 +314,9 @@ def classify(net: Network, sentences: list[str]) -> np.ndarray:
 
 def stretches(logp: np.ndarray, sizes: list[int]) -> list[int]:
     """The class of each sentence on the best path, where a change of class costs SWITCH."""
+    best_each = logp.argmax(axis=1)
+    if (best_each == best_each[0]).all():
+        return best_each.tolist()
     emit = logp * (np.minimum(sizes, FULL) / 6.0)[:, None]
     score, back = emit[0], []
     for e in emit[1:]:

@@ -55,6 +55,7 @@ _PLAIN = set(".,;:'\"!?()-–—…’‘“”«»„、。！？「」।¿¡/
 _MOJIBAKE = re.compile(r"Ã[\u0080-ÿ€™œžƒ‘-„]?|â[€‚][\u0080-ÿ™¬œž‘-„œ]?|Â[\u00a0-ÿ]|ï»¿|�+|ð[ŸŸ].?.?")
 _SYLLABLES = re.compile(r"^(\w{1,4}?)\1+\w{0,2}$")
 _MIXED = re.compile(r"(?=\S*[a-z])(?=\S*[A-Z])(?=\S*\d)[A-Za-z0-9+/=_-]{8,}|[0-9a-fA-F]*\d[0-9a-fA-F]{11,}")
+_MIXTURE = re.compile(r"[A-Za-z][0-9+/=]|[0-9][A-Za-z]")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿąęóıœů]")
 _FIELDS = re.compile(r"\t+|\s*[;|]\s*|\s+[,:]\s+|\s{2,}|,(?=\S)")
 _NUMBER = re.compile(r"^[-+]?[\d.,]+[%a-z]{0,3}$")
@@ -112,7 +113,7 @@ def is_junk(line: str, words: list[str], symbols: int, solid: int) -> bool:
             return True
     if ("Ã" in line or "â" in line or "ï»" in line or "Â" in line) and sum(map(len, _MOJIBAKE.findall(line))) > 0.3 * solid:
         return True
-    if solid > 4 * len(words) and not line.isalpha() and sum(len(m.group()) for m in _MIXED.finditer(line)) > 0.5 * solid:
+    if _MIXTURE.search(line) and sum(len(m.group()) for m in _MIXED.finditer(line)) > 0.5 * solid:
         return True
     if len(words) >= 4:
         if sum(map(_syllables, words)) > 0.5 * len(words):
@@ -120,7 +121,7 @@ def is_junk(line: str, words: list[str], symbols: int, solid: int) -> bool:
         bare = sum(map(_no_vowel, words))
         if bare >= 2:
             latin = [w for w in words if w.isascii() and w not in ("g", "kg", "km", "cm", "x")]
-            if len(latin) >= 5 and len(latin) > 0.6 * len(words) and sum(map(_no_vowel, latin)) > 0.24 * len(latin):
+            if len(latin) >= 5 and len(latin) > 0.6 * len(words) and sum(map(_no_vowel, latin)) > 0.28 * len(latin):
                 return True
     return False
 

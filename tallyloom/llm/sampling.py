@@ -117,8 +117,9 @@ def reservoirs(posts: DataFrame, capacities: DataFrame, seed: int = 42) -> DataF
 def draw(posts: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """The sample of each plan: (plan_id, sample_stratum, category, author, permlink)."""
     report = sample_report(posts, targets).where("quota_rows > 0")
-    # the largest sample bounds every quota, so reservoirs need no counts
-    cap = demands(targets).groupBy("stratum", "cat").agg(F.max("sample_rows").alias("capacity"))
+    # the largest sample or need bounds every quota, so reservoirs need no counts
+    most = F.greatest(F.coalesce("sample_rows", F.lit(0)), "needed_rows")
+    cap = demands(targets).groupBy("stratum", "cat").agg(F.max(most).alias("capacity"))
     kept = reservoirs(posts, cap.where("stratum is not null and cat is not null"), seed)
     return (
         kept.join(F.broadcast(report), ["stratum", "cat"])

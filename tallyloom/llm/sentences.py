@@ -22,7 +22,7 @@ MASK, QUOTED, QUOTE_END, SOFT_END = "\ue000", "\ue003", "\ue001", "\ue002"
 LATIN_ENDS = r".!?…"
 SCRIPT_ENDS = r"。！？｡।॥؟۔"
 ENDS = LATIN_ENDS + SCRIPT_ENDS
-CLOSERS = r"\"'”’»“)\]}】」』）"
+CLOSERS = r"\"'”’»)\]}】」』）"
 OPENERS = r"¿¡“„«‘(\[「『\"'"
 EMOJI = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}"
 BREAKS = r"\n\x0b\x0c\r\x85\u2028\u2029"

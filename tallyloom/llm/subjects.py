@@ -35,8 +35,8 @@ LAMBDAS = (0.3, 0.3, 0.4)
 ROUNDS = 10
 #: Weight of the whole corpus in the background model, beside the neutral text.
 CORPUS_SHARE = 0.05
-#: Times that an n-gram must be more frequent in posts with a subject's label than overall to count for the subject, in full at twice that.
-LIFT = 1.4
+#: Times that an n-gram must be more frequent in posts with a subject's label than overall to count for the subject in full.
+LIFT = 2.8
 #: A unit belongs to a subject that beats the background and the next subject by so many nats.
 MIN_GAIN, MIN_LEAD = 1.2, 0.7
 #: Units that make a subject.
@@ -182,8 +182,10 @@ def train(posts: list[list[list[str]]], labels: list[dict[int, float]], n_subjec
     part = np.maximum(tagged.mean(axis=0), 1e-9)[:, None] if len(ids) else np.ones((n_subjects, 1))
     lift = np.stack([grams.counts(ids, tagged[:, s]) for s in range(n_subjects)])
     lift = np.maximum(lift - 1.5 * np.sqrt(lift + 1), 0.0) / np.maximum(corpus, 1.0) / part  # with regard to chance
-    purity = np.clip((lift - LIFT) / LIFT, 0.0, 1.0)
-    neutral = corpus.copy()
+    full = np.minimum(LIFT, 0.5 + 0.5 / part)  # a subject of half the posts cannot be lifted far
+    purity = np.clip((lift - 1) / (full - 1) * 1.4 - 0.4, 0.0, 1.0)
+    free = 1 - 0.9 * purity.max(axis=0)  # what is some subject's own is seldom neutral
+    neutral = corpus * free
     for _ in range(ROUNDS if len(ids) else 0):
         gain = np.add.reduceat(log_ratios(grams, counts, neutral, corpus, purity).T[ids], starts, axis=0)
         logit = np.concatenate([gain + prior, np.full((len(gain), 1), 1.0)], axis=1)
@@ -191,7 +193,7 @@ def train(posts: list[list[list[str]]], labels: list[dict[int, float]], n_subjec
         p = np.exp(logit)
         p /= p.sum(axis=1, keepdims=True)
         counts = np.stack([grams.counts(ids, p[of_unit, s]) for s in range(n_subjects)])
-        neutral = grams.counts(ids, p[of_unit, n_subjects])
+        neutral = grams.counts(ids, p[of_unit, n_subjects]) * free
     return grams, counts, neutral, purity
 
 
@@ -228,7 +230,7 @@ def calibrate(gain: list[np.ndarray], labels: list[set[int]]) -> dict:
     accepted in posts with one label, weighed down as raters name one subject of two at times."""
     best, rule = -np.inf, {}
     for min_gain in (0.8, 1.2, 1.8, 2.5):
-        for lone in (True, False):
+        for lone in (False, True):
             hit = miss = extra = 0
             for g, own in zip(gain, labels):
                 got = set(accepted(g, min_gain, MIN_LEAD, MIN_UNITS, lone))
