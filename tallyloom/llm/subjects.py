@@ -182,7 +182,7 @@ def train(posts: list[list[list[str]]], labels: list[dict[int, float]], n_subjec
     part = np.maximum(tagged.mean(axis=0), 1e-9)[:, None] if len(ids) else np.ones((n_subjects, 1))
     lift = np.stack([grams.counts(ids, tagged[:, s]) for s in range(n_subjects)])
     lift = np.maximum(lift - 1.5 * np.sqrt(lift + 1), 0.0) / np.maximum(corpus, 1.0) / part  # with regard to chance
-    full = np.minimum(LIFT, 0.5 + 0.5 / part)  # a subject of half the posts cannot be lifted far
+    full = np.minimum(LIFT, 1 + 0.35 * (1 / part - 1)) + 1e-9  # a subject of half the posts cannot be lifted far
     purity = np.clip((lift - 1) / (full - 1) * 1.4 - 0.4, 0.0, 1.0)
     free = 1 - 0.9 * purity.max(axis=0)  # what is some subject's own is seldom neutral
     neutral = corpus * free
