@@ -193,7 +193,8 @@ def test_spam_share_of_kinds():
     phrase = {"sofa covers"}
     assert spam.spam_share("buy sofa covers cheap sofa covers best sofa covers free sofa covers", phrase) == 1.0
     assert spam.spam_share("\n".join(f"* https://a{k}.example/x" for k in range(9)), set()) == 1.0
-    assert spam.spam_share("#one #two #three #four", set()) == 1.0
+    assert spam.spam_share(" ".join(f"#tag{k}x" for k in range(9)), set()) == 1.0
+    assert spam.spam_share("A short post here.\n#one #two #three #four", set()) == 0.0
     assert spam.spam_share("- [Name](https://a.example/1) A sentence of prose that says why this is worth reading today.\n" * 5, set()) < 0.5
     assert spam.spam_share("People asked me about sofa covers and I told them all that I know about them, which is little.", phrase) < 0.3
     assert spam.spam_share("", set()) == 0.0
