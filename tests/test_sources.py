@@ -80,3 +80,30 @@ def test_append_once(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string").parquet(str(src))
         weekly.append_once(stream, ["k"], out, str(tmp_path / f"c{n}")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_remote_ranges_and_keys(spark, monkeypatch):
+    import datetime as dt
+
+    from tallyloom.sources import remote
+
+    got = remote.week_ranges(dt.date(2024, 9, 1), dt.date(2024, 9, 17))
+    assert got[0][0] == "week01_2024-09-01_2024-09-08" and got[-1][2] == dt.date(2024, 9, 17) and len(got) == 3
+    assert remote.week_predicates("created", dt.date(2024, 9, 1), dt.date(2024, 9, 2), "depth = 0") == ["created >= '2024-09-01' AND created < '2024-09-02' AND depth = 0"]
+    monkeypatch.delenv("TALLYLOOM_DB_USER", raising=False)
+    with pytest.raises(OSError, match="TALLYLOOM_DB_USER"):
+        remote.read_remote(spark, "jdbc:x", "t", [])
+    keys = remote.valid_accounts(spark.createDataFrame([(" Abc ",), ("a b",), (None,), ("x",)], "author string"), "author")
+    assert [r.author for r in keys.collect()] == ["abc"]
+
+
+def test_prompts(spark):
+    from tallyloom.functions import prompts as M
+
+    df = spark.createDataFrame([("t", "b"), (None, "c")], "title string, body string")
+    rows = [json.loads(r.m) for r in df.select(M.classification_request(F.col("title"), F.col("body"), ["x"]).alias("m")).collect()]
+    assert rows[0][1]["content"] == "Title:\nt\n\nText:\nb" and rows[1][1]["content"] == "Text:\nc"
+    df = spark.createDataFrame([('"q x"', "T"), (" ", "T"), (None, "T")], "r string, t string")
+    assert [r.q for r in df.select(M.search_query(F.col("r"), F.col("t")).alias("q")).collect()] == ["q x", "T", "T"]
+    one = spark.createDataFrame([("hello there. how are you? ok",)], "x string")
+    assert one.select(M.recapitalize(F.col("x")).alias("y")).first().y == "Hello there. How are you? Ok"
