@@ -66,7 +66,7 @@ _INSIDE = "|".join(
         r"(?=[\p{Lu}\p{N}])(?<=[\p{Lu}\p{N}][!?])",
         r"(?=[\p{Lu}\p{Lo}])(?<=\.)(?<![\p{Ll}\p{Lo}\p{M}\p{N}%s].)" % CLOSERS,
         # initials and abbreviations
-        r"(?=%s?\p{L})(?<=(?<![\p{L}\p{N}\p{M}.%s'’])[\p{L}&&[^I]]\.)" % (_SP, MASK),
+        r"(?=%s?\p{L})(?<=(?<![\p{L}\p{N}\p{M}.*@$%s'’])[\p{L}&&[^I]]\.)" % (_SP, MASK),
         r"(?=%s?[^%s\s])(?<=%s(?i:%s)\.)" % (_SP, ENDS, _START, _any(NEVER_LAST)),
         r"(?=%s?\p{N})(?<=%s(?i:%s)\.)" % (_SP, _START, _any(BEFORE_NUMBER)),
         r"(?=%s?[^\p{Lu}\p{Lt}\s%s%s%s])(?<=%s(?i:%s)\.)" % (_SP, ENDS, CLOSERS, OPENERS, _START, _any(MAYBE_LAST)),
@@ -76,13 +76,14 @@ _INSIDE = "|".join(
         # dots that mark a pause
         r"(?=\.++%s+\p{Ll})(?<=\.)" % _SP,
         r"(?=%s+\p{Ll})(?<=\.\.|…)" % _SP,
+        r"(?=…*+\p{Lo})(?<=…)",
         # numbers of list items, lines without letters
         r"(?=[ \t])(?<=^[ \t]{0,8}\p{N}{1,4}\.)",
         r"(?=[^\p{L}\n]*+$)(?<=^[^\p{L}\n]{0,400}.)",
     ]
 )
-# Ends without a mark: an emoji before a capital, a space between Thai or Lao letters.
-_SOFT = r"([%s])%s(?=[\p{Lu}\p{Lt}\p{Lo}¿¡“„«(「])|([฀-໿]) (?=[฀-໿])" % (EMOJI, _SP)
+# Ends without a mark: an emoji (not at the start of a line) before a capital, a space between Thai or Lao letters.
+_SOFT = r"([^\s%s]%s{0,2}[%s]+)%s(?=[\p{Lu}\p{Lt}\p{Lo}¿¡“„«(「])|([฀-໿]) (?=[฀-໿])" % (EMOJI, _SP, EMOJI, _SP)
 _TILE = (
     r"[^%(t)s%(s)s]*+(?:[%(t)s]++[%(t)s%(c)s]*+(?:[ \u00a0]*+[%(e)s]++)*+|%(s)s|$)"
     % {"t": ENDS + QUOTE_END, "s": SOFT_END, "c": CLOSERS, "e": EMOJI}

@@ -53,6 +53,8 @@ CASES = [
     ("1. item one\n2. item two", ["1. item one", "2. item two"]),
     ("मैं गया। तुम कहाँ हो?", ["मैं गया।", "तुम कहाँ हो?"]),
     ("***!!! ??? ...", ["***!!! ??? ..."]),
+    ("🎉 Join us now. You lying piece of sh*t. Yes", ["🎉 Join us now.", "You lying piece of sh*t.", "Yes"]),
+    ("天已经下雨了……大家都没带伞。好", ["天已经下雨了……大家都没带伞。", "好"]),
     ("", []),
     (" \n\t", []),
     (None, []),
