@@ -35,9 +35,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def z_score(df: DataFrame, value: str) -> DataFrame:
-    """df with z; null where the deviation is 0. The two moments are one row, not a window over everything."""
-    m = df.agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    return df.crossJoin(F.broadcast(m)).withColumn("z", (F.col(value) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__m", "__s")
+    """df with z; null where the deviation is 0. The two moments are scalar subqueries, not a window over everything."""
+    m, s = df.agg(F.avg(value)).scalar(), df.agg(F.stddev_samp(value)).scalar()
+    return df.withColumn("z", (F.col(value) - m) / F.nullif(s, F.lit(0.0)))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -92,8 +92,9 @@ def lorenz(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's place on the Lorenz curve; cumulative sums by range partitions, negative values as 0."""
     base = df.select(key, F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v"), F.lit(1).alias("one"), F.lit(0).alias("g"))
     ranked = running_sums(base, ["g"], ["v", key], {"one": "i", "v": "cum"})
-    total = base.agg(F.count("*").alias("n"), F.sum("v").alias("t"))
-    return ranked.crossJoin(F.broadcast(total)).select(key, "v", "i", "n", "t", (F.col("i") / F.col("n")).alias("x"), F.try_divide("cum", "t").alias("y"))
+    n, t = base.agg(F.count("*")).scalar(), base.agg(F.sum("v")).scalar()
+    both = ranked.select(key, "v", "i", "cum", n.alias("n"), t.alias("t"))
+    return both.select(key, "v", "i", "n", "t", (F.col("i") / F.col("n")).alias("x"), F.try_divide("cum", "t").alias("y"))
 
 
 def concentration(df: DataFrame, key: str, value: str) -> DataFrame:

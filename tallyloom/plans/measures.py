@@ -239,8 +239,9 @@ union all select 'top20', top20, count(*), cast(sum(n_posts) as bigint), round(s
 def popularity_split(spark, d):
     """Authors above the median and in the top fifth; thresholds are over authors, not posts."""
     v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("author")).agg(F.greatest(F.sum("o_totalprice"), F.lit(0.0)).alias("v"), F.count("*").alias("n_posts"))
-    q = v.agg(F.median("v").alias("m"), F.percentile("v", 0.8).alias("p80"))
-    s = v.crossJoin(F.broadcast(q)).select("n_posts", F.explode(F.array(F.struct(F.lit("median").alias("split"), (F.col("v") > F.col("m")).alias("upper")), F.struct(F.lit("top20").alias("split"), (F.col("v") >= F.col("p80")).alias("upper")))).alias("x"))
+    m, p80 = v.agg(F.median("v")).scalar(), v.agg(F.percentile("v", 0.8)).scalar()
+    marked = v.select("n_posts", (F.col("v") > m).alias("high"), (F.col("v") >= p80).alias("top"))
+    s = marked.select("n_posts", F.explode(F.array(F.struct(F.lit("median").alias("split"), F.col("high").alias("upper")), F.struct(F.lit("top20").alias("split"), F.col("top").alias("upper")))).alias("x"))
     return s.groupBy("x.split", "x.upper").agg(F.count("*").alias("n_authors"), F.sum("n_posts").alias("n_posts"), F.round(F.sum("n_posts") / F.count("*"), 6).alias("posts_per_author"))
 
 

@@ -143,7 +143,7 @@ def time_parts(spark, d):
 )
 def status_counts(spark, d):
     n = _posts(spark, d).groupBy("lang_status").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("lang_status", "n", F.round(100 * F.col("n") / F.col("t"), 2).alias("pct"))
+    return n.select("lang_status", "n", F.round(100 * F.col("n") / n.agg(F.sum("n")).scalar(), 2).alias("pct"))
 
 
 @query(
@@ -246,9 +246,9 @@ def over_cleaned(spark, d):
     s = table(spark, d, "hive_cleaned").select(
         "author", "permlink", "net_votes", F.length("body_clean").alias("before"), F.length("body_for_analysis").alias("after")
     ).distinct().withColumn("reduction", S.reduction_pct(F.col("before"), F.col("after")))
-    p95 = s.agg(F.percentile("reduction", 0.95).alias("p95"))
-    hit = ((F.col("before") >= 500) & (F.col("after") < 50)) | ((F.col("reduction") >= F.col("p95")) & (F.col("net_votes") >= 10))
-    return s.crossJoin(F.broadcast(p95)).where(hit).select("author", "permlink", "net_votes", "before", "after", F.round("reduction", 9).alias("reduction"))
+    p95 = s.agg(F.percentile("reduction", 0.95)).scalar()
+    hit = ((F.col("before") >= 500) & (F.col("after") < 50)) | ((F.col("reduction") >= p95) & (F.col("net_votes") >= 10))
+    return s.where(hit).select("author", "permlink", "net_votes", "before", "after", F.round("reduction", 9).alias("reduction"))
 
 
 _LINES = r"unnest(string_split(coalesce(text, ''), chr(10)))"
