@@ -334,9 +334,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of each subject and their share of all posts."""
     posts, labels, subjects = _in(spark, sf_dir)
-    n = posts.select("author", "permlink").distinct().agg(F.count("*").alias("n"))
+    n = posts.select("author", "permlink").distinct().agg(F.count("*")).scalar()
     per = find_subjects(posts, labels, subjects).groupBy("subject").agg(F.countDistinct("author", "permlink").alias("n_posts"))
-    return per.join(F.broadcast(n)).select("subject", "n_posts", F.round(F.col("n_posts") / F.col("n"), 6).alias("share"))
+    return per.select("subject", "n_posts", F.round(F.col("n_posts") / n, 6).alias("share"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_composition": p1_composition}
