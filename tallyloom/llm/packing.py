@@ -62,32 +62,15 @@ def differencing(sizes: list[int], k: int) -> list[int]:
     return out
 
 
-def _largest_first(sizes: list[int], capacity: int) -> list[int]:
-    """Best-fit by falling size; its number of windows bounds the search for differencing."""
-    import bisect
-
-    order, out, room = sorted(range(len(sizes)), key=lambda i: -sizes[i]), [0] * len(sizes), []
-    n = 0
-    for i in order:
-        at = bisect.bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            left, w = capacity - sizes[i], n
-            n += 1
-        else:
-            left, w = room[at][0] - sizes[i], room[at][1]
-            room.pop(at)
-        bisect.insort(room, (left, w))
-        out[i] = w
-    return out
-
-
 def pack_block(sizes: list[int], capacity: int) -> list[int]:
-    """Window of each item, no window above capacity; sizes are at most capacity."""
+    """Window of each item, no window above capacity; sizes are at most capacity.
+
+    Differencing into as few windows as could do, then into one more until none overflows; with a window for each item none can.
+    """
     if not sizes:
         return []
-    k = max(1, -(-sum(sizes) // capacity))
-    fallback = _largest_first(sizes, capacity)
-    while k <= max(fallback):
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    while True:
         out = differencing(sizes, k)
         sums = [0] * k
         for w, s in zip(out, sizes, strict=True):
@@ -95,7 +78,6 @@ def pack_block(sizes: list[int], capacity: int) -> list[int]:
         if max(sums) <= capacity:
             return out
         k += 1
-    return fallback
 
 
 def _pack(block: pd.DataFrame) -> pd.DataFrame:

@@ -157,6 +157,20 @@ def test_differencing_is_near_equal():
     assert sums.max() - sums.min() <= 0.02 * sums.mean()
 
 
+def test_packing_is_near_equal_where_best_fit_would_do():
+    sizes = np.random.default_rng(2).integers(20, 400, 900).tolist()
+    for capacity in (1930, 1990):  # the smallest number of windows leaves some room
+        sums = np.bincount(packing.pack_block(sizes, capacity), sizes)
+        assert len(sums) == -(-sum(sizes) // capacity)
+        assert sums.max() <= capacity and sums.max() - sums.min() <= 0.02 * sums.mean()
+
+
+def test_packing_adds_windows_until_none_overflows():
+    for sizes, least in (([6] * 40, 40), ([4, 3, 3] * 30, 30), ([10] * 7 + [1] * 5, 8)):
+        sums = np.bincount(packing.pack_block(sizes, 10), sizes)
+        assert sums.max() <= 10 and sums.min() > 0 and least <= len(sums) <= 1.25 * least
+
+
 def test_pack_places_every_token_once(spark):
     docs = spark.createDataFrame([(k, int(n)) for k, n in enumerate([5, 0, 120, 50, 49, 3, 100] * 30)], "doc_id long, n_tokens long")
     bins = spark.createDataFrame([("b", 50), ("bad", 0)], "bin_name string, capacity_tokens long")
