@@ -330,6 +330,11 @@ def test_network_tells_languages_apart():
     assert languages.classify(net, []).shape == (0, 2)
 
 
+def test_network_in_use_has_all_its_units():
+    net = languages.Network(3)
+    assert net.w["uf"].shape == net.w["ub"].shape == (24, 48) and net.w["o"].shape == (48, 3)
+
+
 def test_language_labels_in_other_notations():
     codes = {"en": "en", "eng": "en", "english": "en", "de": "de", "deu": "de"}
     assert [languages.normal_code(x, codes) for x in ("EN", "en-US", "eng", " English ", "ger", "und", "", None)] == ["en", "en", "en", "en", "de", None, None, None]
