@@ -57,7 +57,7 @@ def _stop_times(plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """The copies of each mix: (mix_id, src, epoch, doc_id, tokens, finish)."""
     plan = _stop_times(shares(docs, targets))
-    laps = F.least(F.col("max_repeats").cast("bigint"), F.ceil(F.col("weight") * F.col("stop") / F.col("source_tokens") + 1e-9))
+    laps = F.least(F.coalesce("max_repeats", F.lit(1)).cast("bigint"), F.ceil(F.col("weight") * F.col("stop") / F.col("source_tokens") + 1e-9))
     plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(laps, F.lit(1)))))
     plan = plan.select("mix_id", "src", "weight", "total_tokens", "source_tokens", "stop", "epoch")
     # the order in an epoch is the same for all mixes, so each (source, epoch) is summed once
@@ -74,12 +74,30 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     return ranked.where("__sum <= total_tokens").select("mix_id", "src", "epoch", "doc_id", "tokens", "finish")
 
 
+def reached(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Shares with the tokens (got) and epochs (laps) of each target in the mix and whether its source is exhausted there.
+
+    A source is exhausted whose copies through max_repeats all lie in the mix and end before its wanted tokens. The token totals
+    must say the same, which is checked; they alone decide where weights not above 0 or a source asked for twice blur a mix.
+    """
+    got = mix(docs, targets).groupBy("mix_id", "src").agg(F.sum("tokens").alias("got"), F.max("epoch").alias("laps"))
+    rows = shares(docs, targets).join(got, ["mix_id", "src"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    whole = Window.partitionBy("mix_id")
+    plain = (F.min("weight").over(whole) > 0) & (F.count("*").over(Window.partitionBy("mix_id", "src")) == 1)
+    ended = F.coalesce((F.col("got") >= F.col("most_tokens")) & (F.col("got") < F.col("wanted_tokens")), F.lit(False))
+    short = F.coalesce(F.col("wanted_tokens") > F.col("most_tokens"), F.lit(False))
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("mix and token totals differ:"), "mix_id", "source"))
+    rows = rows.withColumn("__plain", plain)
+    return rows.withColumn("exhausted", F.when(~F.col("__plain"), short).when(ended == short, ended).otherwise(wrong.cast("boolean"))).drop("__plain")
+
+
 def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares(*_in(spark, sf_dir)).where("wanted_tokens > most_tokens").select("mix_id", "source").distinct()
+    """Targets whose source is exhausted in the mix."""
+    return reached(*_in(spark, sf_dir)).where("exhausted").select("mix_id", "source").distinct()
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +106,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each target with wanted and reached tokens and shares, and the most often that a text was repeated."""
-    docs, targets = _in(spark, sf_dir)
-    got = mix(docs, targets).groupBy("mix_id", "src").agg(F.sum("tokens").alias("got"), F.max("epoch").alias("laps"))
-    rows = shares(docs, targets).join(got, ["mix_id", "src"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    return rows.select(
+    return reached(*_in(spark, sf_dir)).select(
         "mix_id",
         "source",
         F.round("wanted_tokens", 3).alias("wanted_tokens"),

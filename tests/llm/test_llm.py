@@ -203,6 +203,22 @@ def test_mix_by_brute_force(spark):
     assert short == {s for s, w, m in (("a", 2, 2), ("b", 1, 1), ("c", 5, 3), ("none", 1, 2)) if w / 9 * 2000 > m * total[s]}
 
 
+def test_exhausted_sources_come_from_the_mix(spark, small, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (k % 7 + 1), "abcd"[k % 4]) for k in range(80)], "doc_id long, text string, source string")
+    rows = [(1, "a", 1.0, 2, 200), (1, "b", 1.0, 1, 200), (2, "a", 9.0, 2, 400), (2, "b", 1.0, None, 400), (2, "absent", 1.0, 3, 400), (3, "c", 1.0, 1, 400), (3, "d", 0.0, 1, 400), (4, "a", 1.0, None, 900), (4, "d", 1.0, 9, 900)]
+    targets = spark.createDataFrame(rows, "mix_id int, source string, weight double, max_repeats int, total_tokens long")
+    got = {(r.mix_id, r.source): r for r in mixing.reached(docs, targets).collect()}
+    assert {k for k, r in got.items() if r.exhausted} == {k for k, r in got.items() if r.wanted_tokens > r.most_tokens}
+    assert got[2, "a"].exhausted and got[2, "a"].got == got[2, "a"].most_tokens and got[2, "absent"].exhausted
+    assert got[4, "a"].laps == 1 and got[4, "a"].exhausted and not got[1, "a"].exhausted
+    seen, whole = [], mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *x: seen.append(x) or whole(*x))
+    assert mixing.p9_found(spark, small).count() and seen
+    monkeypatch.setattr(mixing, "mix", lambda *x: whole(*x).where("epoch = 0"))  # a mix that lost its copies is noticed
+    with pytest.raises(Exception, match="mix and token totals differ"):
+        mixing.p9_found(spark, small).collect()
+
+
 # spam
 
 def test_spam_share_of_kinds():
