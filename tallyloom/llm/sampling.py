@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
-from tallyloom.session import table
+from tallyloom.session import cut, table
 
 #: Parts into which the posts of one cell are spread for the first reservoirs.
 SALTS = 64
@@ -85,42 +85,57 @@ def _quotas(plan: pd.DataFrame) -> pd.DataFrame:
     return plan.assign(quota_rows=quota.astype("int64"))
 
 
-def sample_report(posts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each target with its need, the posts at hand, a quota that can be met and whether the cell is exhausted.
+def capacities(targets: DataFrame) -> DataFrame:
+    """(stratum, cat, capacity) of each cell that a target asks for; the largest sample or need bounds every quota, so no count is needed."""
+    most = F.greatest(F.coalesce("sample_rows", F.lit(0)), "needed_rows")
+    cells = demands(targets).groupBy("stratum", "cat").agg(F.max(most).alias("capacity"))
+    return cells.where("stratum is not null and cat is not null")
 
-    targets is a table of parameters; one plan's rows are handled together.
+
+def reservoirs(posts: DataFrame, capacities: DataFrame, seed: int = 42) -> DataFrame:
+    """For each cell of capacities (stratum, cat, capacity), the posts with the lowest priorities, ranked from 1, each with its
+    cell's posts as available_rows.
+
+    capacities has a row for each cell that some target asks for, so it is as small as the targets. Each salted part keeps its count
+    with its reservoir; both are merged. A cell of capacity 0 keeps one row, which carries the count.
     """
-    counts = posts_in_cells(posts).groupBy("stratum", "cat").agg(F.count("*").alias("n"))
+    priority = F.xxhash64("author", "permlink", F.lit(seed))
+    rows = posts_in_cells(posts).join(F.broadcast(capacities), ["stratum", "cat"])
+    rows = rows.withColumn("__p", priority).withColumn("__salt", F.pmod(F.xxhash64("permlink", F.lit(seed + 1)), F.lit(SALTS)))
+    order = [F.col("__p"), F.col("author"), F.col("permlink")]
+    room = F.greatest("capacity", F.lit(1))
+    part = Window.partitionBy("stratum", "cat", "__salt")
+    counted = rows.withColumn("__r", F.row_number().over(part.orderBy(*order))).withColumn("__n", F.count("*").over(part))
+    kept = counted.where(F.col("__r") <= room)
+    cell = Window.partitionBy("stratum", "cat")
+    merged = kept.withColumn("rank", F.row_number().over(cell.orderBy(*order)))
+    merged = merged.withColumn("available_rows", F.sum(F.when(F.col("__r") == 1, F.col("__n"))).over(cell))  # once for each part
+    return merged.where(F.col("rank") <= room).drop("__p", "__salt", "__r", "__n")
+
+
+def _report(kept: DataFrame, targets: DataFrame) -> DataFrame:
+    """sample_report() of the reservoirs kept."""
+    counts = kept.where("rank = 1").select("stratum", "cat", "available_rows")
     asked = demands(targets)
-    joined = asked.join(counts, ["stratum", "cat"], "left").select(asked["*"], F.coalesce("n", F.lit(0)).alias("available_rows"))
+    joined = asked.join(counts, ["stratum", "cat"], "left").select(asked["*"], F.coalesce("available_rows", F.lit(0)).alias("available_rows"))
     schema = joined.withColumn("quota_rows", F.lit(0).cast("bigint")).schema
     return joined.groupBy("plan_id").applyInPandas(_quotas, schema).withColumn(
         "exhausted", F.col("needed_rows") > F.col("available_rows")
     )
 
 
-def reservoirs(posts: DataFrame, capacities: DataFrame, seed: int = 42) -> DataFrame:
-    """For each cell of capacities (stratum, cat, capacity), the posts with the lowest priorities, ranked from 1.
+def sample_report(posts: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """Each target with its need, the posts at hand, a quota that can be met and whether the cell is exhausted.
 
-    capacities has a row for each cell that some target asks for, so it is as small as the targets.
+    targets is a table of parameters; one plan's rows are handled together.
     """
-    priority = F.xxhash64("author", "permlink", F.lit(seed))
-    rows = posts_in_cells(posts).join(F.broadcast(capacities), ["stratum", "cat"])
-    rows = rows.withColumn("__p", priority).withColumn("__salt", F.pmod(F.xxhash64("permlink", F.lit(seed + 1)), F.lit(SALTS)))
-    order = [F.col("__p"), F.col("author"), F.col("permlink")]
-    part = Window.partitionBy("stratum", "cat", "__salt").orderBy(*order)
-    kept = rows.withColumn("__r", F.row_number().over(part)).where("__r <= capacity")
-    cell = Window.partitionBy("stratum", "cat").orderBy(*order)
-    return kept.withColumn("rank", F.row_number().over(cell)).where("rank <= capacity").drop("__p", "__salt", "__r")
+    return _report(reservoirs(posts, capacities(targets), seed), targets)
 
 
 def draw(posts: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """The sample of each plan: (plan_id, sample_stratum, category, author, permlink)."""
-    report = sample_report(posts, targets).where("quota_rows > 0")
-    # the largest sample or need bounds every quota, so reservoirs need no counts
-    most = F.greatest(F.coalesce("sample_rows", F.lit(0)), "needed_rows")
-    cap = demands(targets).groupBy("stratum", "cat").agg(F.max(most).alias("capacity"))
-    kept = reservoirs(posts, cap.where("stratum is not null and cat is not null"), seed)
+    kept = cut(reservoirs(posts, capacities(targets), seed))  # one pass gives counts, quotas and posts
+    report = _report(kept, targets).where("quota_rows > 0").drop("available_rows")
     return (
         kept.join(F.broadcast(report), ["stratum", "cat"])
         .where("rank <= quota_rows")

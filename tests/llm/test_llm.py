@@ -138,6 +138,22 @@ def test_sample_meets_quotas(spark):
     assert sampling.draw(posts.limit(0), targets).count() == 0
 
 
+def test_counts_and_quotas_come_from_one_reservoir_pass(spark, small, monkeypatch):
+    posts = spark.createDataFrame([(f"a{k % 7}", f"p{k}", "Political", "gaming" if k % 3 else "travel", True) for k in range(900)], "author string, permlink string, sample_stratum string, category string, is_political boolean")
+    caps = spark.createDataFrame([("political", "gaming", 5), ("political", "travel", 0)], "stratum string, cat string, capacity long")
+    kept = sampling.reservoirs(posts, caps).collect()
+    assert Counter((r.cat, r.available_rows) for r in kept) == {("gaming", 600): 5, ("travel", 300): 1}
+    targets = spark.createDataFrame([(1, "political", "gaming", 0.5, 4, 20), (1, "political", "travel", 0.5, 301, 20)], "plan_id int, sample_stratum string, category string, target_share double, min_rows long, sample_rows long")
+    want = sorted(sampling.draw(posts, targets).collect())
+    seen, whole = [], sampling.posts_in_cells
+    monkeypatch.setattr(sampling, "posts_in_cells", lambda x: seen.append(x) or whole(x))
+    assert sorted(sampling.draw(posts, targets).collect()) == want and len(seen) == 1
+    passes, pass_ = [], sampling.reservoirs
+    monkeypatch.setattr(sampling, "reservoirs", lambda *x: passes.append(x) or pass_(*x))
+    assert {(r.category, r.available_rows, r.exhausted) for r in sampling.sample_report(posts, targets).collect()} == {("gaming", 600, False), ("travel", 300, True)}
+    assert sampling.p3_found(spark, small).columns and sampling.p3_report(spark, small).columns and len(passes) == 3
+
+
 # packing
 
 @settings(max_examples=80, deadline=None)
