@@ -252,6 +252,48 @@ def test_spam_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a", 7), (2, "", None, 8), (3, " \n ", "b", 9)], "doc_id long, text string, source string, key int")
     assert [r.spam_share for r in spam.score_pages(docs).collect()] == [0.0, 0.0, 0.0]
     assert spam.score_pages(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "#a1 " * 9, "a"), (1, "One short sentence here.", "b"), (None, "#a1 " * 9, "a"), (2, "#b " * 40_000, None)], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in spam.score_marked(odd).collect()) == [(1, 1.0), (2, 1.0)]
+
+
+def _keyword_page(k: int, phrase: str) -> str:
+    filler = ["best", "cheap", "fast", "near", "top", "sale", "buy", "shop"]
+    return " ".join(f"{filler[(k + j) % 8]} {phrase}" for j in range(8))
+
+
+def test_phrases_must_be_replicated_on_hosts(spark):
+    """Pages of one host alone, or one page posted again on many hosts, are not replicated; on three hosts they are."""
+    rows = [(k, _keyword_page(k, "sofa covers"), f"h{k}") for k in range(3)]
+    rows += [(10 + k, _keyword_page(k, "garden hoses"), "one host") for k in range(6)]
+    rows += [(20 + k, _keyword_page(0, "paper lamps").upper() if k % 2 else _keyword_page(0, "paper lamps"), f"h{k}") for k in range(6)]
+    rows += [(30, "The ferry left at noon with the mail and nobody asked about sofa covers.", "h9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = lambda n: {r.doc_id for r in spam.score_marked(docs, n).where("spam_share > 0.5").collect()}
+    assert found(3) == {0, 1, 2}
+    assert found(1) == {0, 1, 2, *range(10, 16), *range(20, 26)} and found(4) == set()
+
+
+def test_replicated_phrases_by_brute_force(spark, small):
+    docs = table(spark, small, "documents")
+    hosts, once = {}, {}
+    for r in docs.collect():
+        for name, spans in spam.page_marks(r.text or "")[1]:
+            page = "".join(c for c in r.text.lower() if c.isalnum())
+            host = (r.source or "").strip().lower()
+            once[name, page] = min(once.get((name, page), host), host)
+    for (name, _), host in once.items():
+        hosts.setdefault(name, set()).add(host)
+    good = {n for n, h in hosts.items() if n and len(h) >= 2}
+    want = {r.doc_id for r in docs.collect() if r.text and spam.spam_share(r.text, good) > 0.5}
+    assert {r.doc_id for r in spam.score_marked(docs, 2).where("spam_share > 0.5").collect()} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=12))
+def test_merged_spans(spans):
+    got = spam.merged(spans)
+    assert {x for a, b in got for x in range(a, b)} == {x for a, b in spans for x in range(a, b)}
+    assert all(b < c for (_, b), (c, _) in zip(got, got[1:]))
 
 
 # quality
