@@ -118,6 +118,49 @@ def test_republished_articles_are_no_boilerplate(spark):
     assert lines.repeated_lines(df, min_posts=1, min_clusters=5).count() == 0
 
 
+def _line_fixture(spark):
+    """Copies of one text, posts with several texts, repeated rows, null dates, a line twice in a text."""
+    rng = np.random.default_rng(8)
+    pool = [f"A line with letters number {'abcdefgh'[k]}" for k in range(8)] + ["short", ""]
+    day = lambda k: None if k % 5 == 0 else pd.Timestamp(2024, 1, 1 + k % 9).to_pydatetime()
+    rows = [("a", f"c{k}", day(k), "The article that is copied often\nA line with letters number a" + "!" * (k % 3)) for k in range(30)]
+    rows += [(f"a{k % 2}", f"p{k % 25}", day(k), "\n".join(rng.choice(pool, 6))) for k in range(60)]
+    return rows + rows[:4] + [("a0", "q", None, pool[0] + "\n" + pool[0]), (None, "x", None, pool[0]), ("a0", None, None, pool[0]), ("a0", "n", None, None)]
+
+
+def test_counts_of_posts_clusters_and_days_by_brute_force(spark):
+    rows = _line_fixture(spark)
+    df = spark.createDataFrame(rows, "author string, permlink string, created timestamp, body_for_analysis string")
+    bare = lambda x: "".join(c for c in x if c.isalpha()).lower()
+    posts, clusters, days, places = {}, {}, {}, set()
+    for a, p, d, t in rows:
+        if a is None or p is None or t is None:
+            continue
+        for n, x in enumerate(t.split("\n"), 1):
+            if len(bare(x)) >= 12:
+                posts.setdefault((a, bare(x)), set()).add(p)
+                clusters.setdefault((a, bare(x)), set()).add(tuple(map(bare, t.split("\n"))))
+                days.setdefault((a, bare(x)), set()).update([d.date()] if d else [])
+                places.add((a, p, n, bare(x)))
+    for rule in ({}, {"min_posts": 1, "min_clusters": 3}, {"min_posts": 2, "min_clusters": 2, "min_days": 4}):
+        lim = {"min_posts": 5, "min_clusters": 1, "min_days": 0} | rule
+        want = {
+            (a, p, n, len(posts[a, x]), len(clusters[a, x]), len(days[a, x])) for a, p, n, x in places
+            if len(posts[a, x]) >= lim["min_posts"] and len(clusters[a, x]) >= lim["min_clusters"] and len(days[a, x]) >= lim["min_days"]
+        }
+        assert {tuple(r) for r in lines.repeated_lines(df, **rule).collect()} == want
+
+
+def test_copies_collapse_before_lines_are_cut_out(spark, monkeypatch):
+    df = spark.createDataFrame(_line_fixture(spark), "author string, permlink string, created timestamp, body_for_analysis string")
+    clusters, members = lines.collapsed(df)
+    assert clusters.where("author = 'a'").count() == 1 and members.where("author = 'a'").count() == 30
+    whole = lines.occurrences(df).count()
+    real = lines.collapsed
+    monkeypatch.setattr(lines, "collapsed", lambda *x: (real(*x)[0], real(*x)[1].dropDuplicates(["author", "cluster"])))
+    assert lines.occurrences(df).count() < whole  # without the posts that clusters stand for, lines are lost
+
+
 # sampling
 
 def test_sample_meets_quotas(spark):
