@@ -17,7 +17,7 @@ from tallyloom.session import table
 POST = "author string, permlink string, created timestamp, "
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_sample", "p5_found", "p5_sentence_stats", "p6_found", "p6_cleaned", "p7_found", "p7_statistics", "p8_found", "p8_report", "p9_found", "p9_report", "p10_found", "p10_sources"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_sample", "p5_found", "p5_sentence_stats", "p6_found", "p6_cleaned", "p7_found", "p7_statistics", "p8_found", "p8_packed", "p8_report", "p9_found", "p9_report", "p10_found", "p10_sources"])
 def test_queries_run(spark, small, name):
     assert entry.QUERIES[name](spark, small).columns
 
@@ -181,6 +181,23 @@ def test_sample_meets_quotas(spark):
     assert sampling.draw(posts.limit(0), targets).count() == 0
 
 
+def test_level_fill():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        low = rng.integers(0, 9, n)
+        high = low + rng.integers(0, 12, n)
+        ideal, total = rng.random(n) * 20, int(rng.integers(0, 120))
+        got = sampling.level_fill(ideal, low, high, total)
+        assert (low <= got).all() and (got <= high).all()
+        assert got.sum() == min(max(total, low.sum()), high.sum())
+        # no row could move from a cell further above its ideal to one further below it
+        up, down = got < high, got > low
+        if up.any() and down.any():
+            assert (got - ideal)[down].max() - (got - ideal)[up].min() <= 2.0 + 1e-9
+    assert sampling.level_fill(np.array([1.0]), np.array([0]), np.array([40_000]), 30_000).tolist() == [30_000]
+
+
 def test_counts_and_quotas_come_from_one_reservoir_pass(spark, small, monkeypatch):
     posts = spark.createDataFrame([(f"a{k % 7}", f"p{k}", "Political", "gaming" if k % 3 else "travel", True) for k in range(900)], "author string, permlink string, sample_stratum string, category string, is_political boolean")
     caps = spark.createDataFrame([("political", "gaming", 5), ("political", "travel", 0)], "stratum string, cat string, capacity long")
@@ -251,14 +268,14 @@ def test_mix_by_brute_force(spark):
     total = Counter()
     for k, _, s in docs:
         total[(s or "").strip().lower()] += size[k]
-    got = mixing.mix(df, targets).collect()
+    got = mixing.mix(mixing.sized_sources(df), targets).collect()
     assert sum(r.tokens for r in got) <= 2000 < sum(r.tokens for r in got) + 60
     assert max(Counter((r.doc_id, r.epoch) for r in got).values()) == 1
     share = Counter()
     for r in got:
         share[r.src] += r.tokens
     assert share["a"] / share["b"] == pytest.approx(2.0, rel=0.1)
-    short = {r.source for r in mixing.shares(df, targets).where("wanted_tokens > most_tokens").collect()}
+    short = {r.source for r in mixing.shares(mixing.sized_sources(df), targets).where("wanted_tokens > most_tokens").collect()}
     assert short == {s for s, w, m in (("a", 2, 2), ("b", 1, 1), ("c", 5, 3), ("none", 1, 2)) if w / 9 * 2000 > m * total[s]}
 
 
@@ -266,7 +283,7 @@ def test_exhausted_sources_come_from_the_mix(spark, small, monkeypatch):
     docs = spark.createDataFrame([(k, "w " * (k % 7 + 1), "abcd"[k % 4]) for k in range(80)], "doc_id long, text string, source string")
     rows = [(1, "a", 1.0, 2, 200), (1, "b", 1.0, 1, 200), (2, "a", 9.0, 2, 400), (2, "b", 1.0, None, 400), (2, "absent", 1.0, 3, 400), (3, "c", 1.0, 1, 400), (3, "d", 0.0, 1, 400), (4, "a", 1.0, None, 900), (4, "d", 1.0, 9, 900)]
     targets = spark.createDataFrame(rows, "mix_id int, source string, weight double, max_repeats int, total_tokens long")
-    got = {(r.mix_id, r.source): r for r in mixing.reached(docs, targets).collect()}
+    got = {(r.mix_id, r.source): r for r in mixing.reached(mixing.sized_sources(docs), targets).collect()}
     assert {k for k, r in got.items() if r.exhausted} == {k for k, r in got.items() if r.wanted_tokens > r.most_tokens}
     assert got[2, "a"].exhausted and got[2, "a"].got == got[2, "a"].most_tokens and got[2, "absent"].exhausted
     assert got[4, "a"].laps == 1 and got[4, "a"].exhausted and not got[1, "a"].exhausted
