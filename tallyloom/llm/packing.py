@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import wordpunct_count
-from tallyloom.session import table
+from tallyloom.session import cut, table
 
 #: Containers' worth of tokens in a block: more leave less space over, at a cost in proportion.
 BLOCK = 128
@@ -122,7 +122,8 @@ def must_split(docs: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_bins")
+    # tokens are counted once; an id and a number a document are written for the total and the packing
+    return cut(sized(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "pack_bins")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +149,29 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must fulfil for each bin: documents and tokens placed, documents split, containers that overflow, documents split
+    though they fit, and tokens placed twice or not at all (gaps between a document's pieces)."""
+    docs, bins = _in(spark, sf_dir)
+    placed = cut(pack(docs, bins))
+    full = placed.groupBy("bin_name", "block", "window_no").agg(F.sum("tokens").alias("t")).groupBy("bin_name").agg(F.max("t").alias("fullest"))
+    per = placed.groupBy("bin_name", "doc_id").agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.countDistinct("piece_no").alias("k")
+    )
+    c = F.col("capacity_tokens")
+    rows = per.join(F.broadcast(bins), "bin_name").join(F.broadcast(full), "bin_name").groupBy("bin_name")
+    return rows.agg(
+        F.count("*").alias("n_docs"), F.sum("t").alias("n_tokens"), F.count_if(F.col("n") > 1).alias("n_split"), F.max((F.col("fullest") > c).cast("int")).alias("overfull"),
+        F.count_if((F.col("n") > 1) & (F.col("t") <= c)).alias("split_needlessly"), F.count_if((F.col("t") != F.col("end")) | (F.col("n") != F.col("k"))).alias("not_whole"),
+    )
+
+
 #: WordPunct tokens in DuckDB.
 SQL_TOKENS = r"""coalesce(len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+')), 0)"""
 
-QUERIES = {"p8_found": p8_found, "p8_packed": p8_packed, "p8_report": p8_report}
+QUERIES = {"p8_found": p8_found, "p8_packed": p8_packed, "p8_report": p8_report, "p8_checks": p8_checks}
 ORACLES = {
     "p8_found": f"select distinct bin_name, doc_id from documents, pack_bins where {SQL_TOKENS.format('text')} > capacity_tokens",
+    "p8_checks": f"""select bin_name, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens, count(*) filter (where n > capacity_tokens) as n_split, 0 as overfull,
+  0::bigint as split_needlessly, 0::bigint as not_whole from (select doc_id, {SQL_TOKENS.format('text')} as n from documents), pack_bins where n > 0 group by 1""",
 }
