@@ -12,6 +12,7 @@ priorities tie only for the same post; a plan over an empty table gets quotas of
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,24 +66,36 @@ def demands(targets: DataFrame) -> DataFrame:
     )
 
 
+def level_fill(ideal: np.ndarray, low: np.ndarray, high: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers between low and high that add up to total as far as the bounds allow, all as far from ideal as one level says.
+
+    The sum of clip(ideal + level, low, high) is piecewise linear in level, so the level is found between two of its knots; what
+    is left after rounding down goes to the largest remainders, ties to the first.
+    """
+    goal = min(max(total, int(low.sum())), int(high.sum()))
+    knots = np.unique(np.concatenate([low - ideal, high - ideal]))
+    sums = np.array([np.clip(ideal + k, low, high).sum() for k in knots])
+    exact = np.clip(ideal + np.interp(goal, sums, knots), low, high) if len(knots) else ideal
+    out = np.floor(exact + 1e-9).astype(np.int64)
+    order = np.argsort(-np.where(out < high, exact - out, -1.0), kind="stable")
+    out[order[: goal - int(out.sum())]] += 1
+    return out
+
+
 def _quotas(plan: pd.DataFrame) -> pd.DataFrame:
     """Quotas of one plan: needs as far as the posts go, then rows still missing to sample_rows by share; rows too many
-    are taken from the cells furthest above their minimum."""
+    are taken from the cells furthest above their share, down to their minimum."""
     plan = plan.sort_values(["stratum", "cat"], na_position="last").reset_index(drop=True)
-    have = plan["available_rows"].astype(int)
-    quota = plan["needed_rows"].astype(int).clip(upper=have)
-    floor = plan["min_rows"].fillna(0).astype(int).clip(upper=have)
+    have = plan["available_rows"].to_numpy(np.int64)
+    quota = np.minimum(plan["needed_rows"].to_numpy(np.int64), have)
+    floor = np.minimum(plan["min_rows"].fillna(0).to_numpy(np.int64), quota)
     total = int(plan["sample_rows"].fillna(0).max())
-    share = plan["target_share"].fillna(0.0)
-    while quota.sum() > total and (quota > floor).any():
-        over = (quota - share * total).where(quota > floor, float("-inf"))
-        quota[over.idxmax()] -= 1
-    while quota.sum() < total and (quota < have).any():
-        short = (share * total - quota).where((quota < have) & (share > 0), float("-inf"))
-        if short.max() == float("-inf"):
-            break
-        quota[short.idxmax()] += 1
-    return plan.assign(quota_rows=quota.astype("int64"))
+    share = plan["target_share"].fillna(0.0).to_numpy(float)
+    if quota.sum() > total:
+        quota = level_fill(share * total, floor, quota, total)
+    elif quota.sum() < total:
+        quota = level_fill(share * total, quota, np.where(share > 0, have, quota), total)
+    return plan.assign(quota_rows=quota)
 
 
 def capacities(targets: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def reservoirs(posts: DataFrame, capacities: DataFrame, seed: int = 42) -> DataF
     capacities has a row for each cell that some target asks for, so it is as small as the targets. Each salted part keeps its count
     with its reservoir; both are merged. A cell of capacity 0 keeps one row, which carries the count.
     """
-    priority = F.xxhash64("author", "permlink", F.lit(seed))
+    priority = F.md5(F.concat_ws("|", F.lit(str(seed)), "author", "permlink"))
     rows = posts_in_cells(posts).join(F.broadcast(capacities), ["stratum", "cat"])
     rows = rows.withColumn("__p", priority).withColumn("__salt", F.pmod(F.xxhash64("permlink", F.lit(seed + 1)), F.lit(SALTS)))
     order = [F.col("__p"), F.col("author"), F.col("permlink")]
@@ -113,15 +126,18 @@ def reservoirs(posts: DataFrame, capacities: DataFrame, seed: int = 42) -> DataF
     return merged.where(F.col("rank") <= room).drop("__p", "__salt", "__r", "__n")
 
 
-def _report(kept: DataFrame, targets: DataFrame) -> DataFrame:
-    """sample_report() of the reservoirs kept."""
+def _needs(kept: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target with its need, the posts at hand as the reservoirs kept count them, and whether its cell is exhausted."""
     counts = kept.where("rank = 1").select("stratum", "cat", "available_rows")
     asked = demands(targets)
     joined = asked.join(counts, ["stratum", "cat"], "left").select(asked["*"], F.coalesce("available_rows", F.lit(0)).alias("available_rows"))
-    schema = joined.withColumn("quota_rows", F.lit(0).cast("bigint")).schema
-    return joined.groupBy("plan_id").applyInPandas(_quotas, schema).withColumn(
-        "exhausted", F.col("needed_rows") > F.col("available_rows")
-    )
+    return joined.withColumn("exhausted", F.col("needed_rows") > F.col("available_rows"))
+
+
+def _report(kept: DataFrame, targets: DataFrame) -> DataFrame:
+    """sample_report() of the reservoirs kept."""
+    needs = _needs(kept, targets)
+    return needs.groupBy("plan_id").applyInPandas(_quotas, needs.withColumn("quota_rows", F.lit(0).cast("bigint")).schema)
 
 
 def sample_report(posts: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
@@ -148,11 +164,13 @@ def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_report(*_in(spark, sf_dir)).where("exhausted").select("plan_id", "sample_stratum", "category").distinct()
+    posts, targets = _in(spark, sf_dir)
+    return _needs(reservoirs(posts, capacities(targets)), targets).where("exhausted").select("plan_id", "sample_stratum", "category").distinct()
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_report(*_in(spark, sf_dir)).select(
+    posts, targets = _in(spark, sf_dir)
+    return _needs(reservoirs(posts, capacities(targets)), targets).select(
         "plan_id", "sample_stratum", "category", "needed_rows", "available_rows", "exhausted"
     )
 
@@ -162,7 +180,7 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLD = r"nullif(lower(regexp_replace({0}, '^[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+|[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '', 'g')), '')"
-_REPORT = rf"""
+_CELLS = rf"""
 with cells as (
   select author, permlink, min((s, c)) as cell from (
     select author, permlink,
@@ -174,12 +192,25 @@ counts as (select cell[1] as s, cell[2] as c, count(*) as n from cells group by
 asked as (
   select *, greatest(coalesce(min_rows, 0), cast(ceil(round(target_share * sample_rows, 6)) as bigint)) as needed_rows,
     {_FOLD.format("sample_stratum")} as s, regexp_replace({_FOLD.format("category")}, '[\s-]', '_', 'g') as c
-  from sample_targets)
+  from sample_targets)"""
+_REPORT = _CELLS + """
 select plan_id, sample_stratum, category, needed_rows, coalesce(n, 0) as available_rows, needed_rows > coalesce(n, 0) as exhausted
 from asked left join counts using (s, c)"""
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample}
+def p3_reservoirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts that each cell's reservoir keeps for the largest sample that any plan could ask of it."""
+    posts, targets = _in(spark, sf_dir)
+    kept = reservoirs(posts, capacities(targets))
+    return kept.select("stratum", "cat", "author", "permlink", F.col("rank").cast("bigint").alias("rank"), "available_rows")
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p3_reservoirs": p3_reservoirs}
 ORACLES = {
     "p3_report": _REPORT,
     "p3_found": f"select distinct plan_id, sample_stratum, category from ({_REPORT}) where exhausted",
+    "p3_reservoirs": _CELLS
+    + """, room as (select s, c, greatest(max(greatest(coalesce(sample_rows, 0), needed_rows)), 1) as room from asked where s is not null and c is not null group by all)
+select s as stratum, c as cat, author, permlink, rank, available_rows from (select s, c, author, permlink, room,
+  row_number() over (partition by s, c order by md5('42|' || author || '|' || permlink), author, permlink) as rank, count(*) over (partition by s, c) as available_rows
+  from (select author, permlink, cell[1] as s, cell[2] as c from cells) join room using (s, c)) where rank <= room""",
 }
