@@ -47,15 +47,20 @@ def _any(words: list[str]) -> str:
 
 _START = r"(?<![\p{L}\p{N}\p{M}.%s])" % MASK
 _SP = r"[ \u00a0]"
+# A closing single quote is not within a word; what may stand before it in its line.
+_SINGLE = r"(?:[^‘’\n%s]|’(?=\p{L}))*+"
 # Quoted speech: first the marks just before a closing quote, then those further inside, then the quotes that end a sentence.
+# Where an opening quote decides, a match begins with it or where the last match ended (\G), so that quotes of any length are seen.
 _QUOTES: list[tuple[str, str]] = [
-    (r"[%s](?:(?=%s?[”»」』])|(?=“)(?<=„[^“”„\n]{0,400}.))" % (ENDS, _SP), QUOTED),
+    (r"[%s](?=%s?[”»」』])" % (ENDS, _SP), QUOTED),
+    (r"(„[^“”„\n]*?)[%s](?=“)" % ENDS, "$1" + QUOTED),
     (r"(?m)[%s](?=\"(?:[^\"\n]*+\"[^\"\n]*+\")*+[^\"\n]*+$)" % ENDS, QUOTED),
     (
-        r"(?m)[%s](?:(?=[^“”\n]*+”)|(?=[^«»\n]*+»)|(?=[^「」\n]*+」)|(?=[^“”„\n]*+“)(?<=„[^“”„\n]{0,400}.)"
-        r"|(?=[^‘’\n]{0,120}’)(?<=‘[^‘’\n]{0,120}.)|(?=[^\"\n]*+\"(?:[^\"\n]*+\"[^\"\n]*+\")*+[^\"\n]*+$))" % ENDS,
+        r"(?m)[%s](?:(?=[^“”\n]*+”)|(?=[^«»\n]*+»)|(?=[^「」\n]*+」)|(?=[^\"\n]*+\"(?:[^\"\n]*+\"[^\"\n]*+\")*+[^\"\n]*+$))" % ENDS,
         MASK,
     ),
+    (r"((?!\A)\G|„)([^“”„\n%s]*+)[%s](?=[^“”„\n]*+“)" % (ENDS, ENDS), "$1$2" + MASK),
+    (r"((?!\A)\G|(?<![\p{L}\p{N}])‘)(%s)[%s](?=%s’)" % (_SINGLE % ENDS, ENDS, _SINGLE % ""), "$1$2" + MASK),
     (r"[”»“」』\"](?=%s+[\p{Lu}\p{Lt}%s])(?<=%s%s?.)" % (_SP, OPENERS, QUOTED, _SP), QUOTE_END),
 ]
 # All in one pass; each case first takes the mark and then looks ahead and back, so nothing is tried at other characters.
@@ -77,11 +82,13 @@ _INSIDE = "|".join(
         r"(?=\.++%s+\p{Ll})(?<=\.)" % _SP,
         r"(?=%s+\p{Ll})(?<=\.\.|…)" % _SP,
         r"(?=…*+\p{Lo})(?<=…)",
-        # numbers of list items, lines without letters
-        r"(?=[ \t])(?<=^[ \t]{0,8}\p{N}{1,4}\.)",
-        r"(?=[^\p{L}\n]*+$)(?<=^[^\p{L}\n]{0,400}.)",
     ]
 )
+# Marks of whole lines, forward from their start: the dot after a list item's number, all marks of a line without letters.
+_LINE_MARKS: list[tuple[str, str]] = [
+    (r"(?m)^([ \t]*+\p{N}++)\.(?=[ \t])", "$1" + MASK),
+    (r"(?m)(^(?=[^\p{L}\n]*+$)|(?!\A)\G)([^\p{L}\n%s]*+)[%s]" % (LATIN_ENDS, LATIN_ENDS), "$1$2" + MASK),
+]
 # Ends without a mark: an emoji (not at the start of a line) before a capital, a space between Thai or Lao letters.
 _SOFT = r"([^\s%s]%s{0,2}[%s]+)%s(?=[\p{Lu}\p{Lt}\p{Lo}¿¡“„«(「])|([฀-໿]) (?=[฀-໿])" % (EMOJI, _SP, EMOJI, _SP)
 _TILE = (
@@ -98,12 +105,17 @@ def masked(text: Column) -> Column:
         quoted = F.regexp_replace(quoted, F.lit(pattern), F.lit(to))
     text = F.when(text.rlike("[”»」』“’\"]"), quoted).otherwise(text)
     text = F.regexp_replace(text, F.lit(f"(?m)[{LATIN_ENDS}](?:{_INSIDE})"), F.lit(MASK))
+    for pattern, to in _LINE_MARKS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
     return F.regexp_replace(text, F.lit(_SOFT), F.lit("$1$2" + SOFT_END))
 
 
-def _offsets(pieces: Column, gap: int) -> Column:
-    """Start of each piece, where pieces follow one another with gap characters between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("done"))
+#: Pieces whose starts are found in one fold; longer arrays are folded in parts of so many.
+PART = 128
+
+
+def _fold_offsets(pieces: Column, start: Column, gap: int) -> Column:
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("done"))
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p) + gap).cast("int").alias("at"), F.concat(acc["done"], F.array(acc["at"])).alias("done")
     )
@@ -115,6 +127,20 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _offsets(pieces: Column, gap: int) -> Column:
+    """Start of each piece, where pieces follow one another with gap characters between them.
+
+    A fold copies the array that it grows, so long arrays are cut into parts: the parts' starts first, then those in each part.
+    """
+
+    def of_parts(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p: F.array_join(p, " " * gap))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), _fold_offsets(whole, F.lit(0), gap).alias("at")), lambda x: _fold_offsets(x["p"], x["at"], gap)))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(PART)), lambda k: F.slice(pieces, k, F.lit(PART)))
+    return F.when(F.size(pieces) <= PART, _fold_offsets(pieces, F.lit(0), gap)).otherwise(_let(parts, of_parts))
+
+
 def _spans_of_line(line: Column, at: Column) -> Column:
     span = lambda x: F.struct(
         (at + x["off"] + F.length(x["tile"]) - F.length(F.ltrim(x["tile"], F.lit(_BLANK)))).cast("int").alias("start_char"),
@@ -134,29 +160,39 @@ def sentence_spans(text: Column) -> Column:
     return _let(F.split(masked(text), f"[{BREAKS}]", -1), of)
 
 
-def split_sentences(df: DataFrame, text: str = "body_for_analysis", keys: tuple[str, ...] = ("author", "permlink")) -> DataFrame:
-    """One row (keys, start_char, end_char, sentence) for each sentence of each distinct text of a key.
+def sentence_rows(text: Column) -> Column:
+    """sentence_spans() with each sentence's text, cut from its own line, so that a long text is not searched from its start each time."""
+
+    def of(lines: Column) -> Column:
+        each = F.arrays_zip(lines.alias("line"), _offsets(lines, 1).alias("at"), F.split(text, f"[{BREAKS}]", -1).alias("own"))
+        cut = lambda x, s: F.struct(
+            s["start_char"].alias("start_char"), s["end_char"].alias("end_char"),
+            F.substring(x["own"], s["start_char"] - x["at"] + 1, s["end_char"] - s["start_char"]).alias("sentence"),
+        )
+        return F.flatten(F.transform(each, lambda x: F.transform(_spans_of_line(x["line"], x["at"]), lambda s: cut(x, s))))
+
+    return _let(F.split(masked(text), f"[{BREAKS}]", -1), of)
+
+
+def split_sentences(
+    df: DataFrame, text: str = "body_for_analysis", keys: tuple[str, ...] = ("author", "permlink"), sentence: bool = True
+) -> DataFrame:
+    """One row (keys, start_char, end_char, and sentence if asked for) for each sentence of each distinct text of a key.
 
     Only keys and text are read, so other columns of any name do no harm. A post of repeated rows counts once.
     No text is shuffled: the sentences of a row depend on that row alone.
     """
-    spans = df.select(*keys, F.col(text).alias("__text"), F.explode(sentence_spans(F.col(text))).alias("__s"))
-    return spans.select(
-        *keys,
-        F.col("__s.start_char").alias("start_char"),
-        F.col("__s.end_char").alias("end_char"),
-        F.expr("substring(__text, __s.start_char + 1, __s.end_char - __s.start_char)").alias("sentence"),
-    )
+    of = sentence_rows if sentence else sentence_spans
+    return df.select(*keys, F.inline(of(F.col(text))))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, "hive_cleaned")
-    return split_sentences(posts).select("author", "permlink", "start_char", "end_char").distinct()
+    return split_sentences(table(spark, sf_dir, "hive_cleaned"), sentence=False).distinct()
 
 
 def p5_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences for each author: how many, of which mean and greatest length."""
-    found = split_sentences(table(spark, sf_dir, "hive_cleaned")).drop("sentence").distinct()
+    found = split_sentences(table(spark, sf_dir, "hive_cleaned"), sentence=False).distinct()
     n = F.col("end_char") - F.col("start_char")
     return found.groupBy("author").agg(
         F.count("*").alias("n_sentences"),

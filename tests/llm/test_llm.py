@@ -55,6 +55,10 @@ CASES = [
     ("***!!! ??? ...", ["***!!! ??? ..."]),
     ("🎉 Join us now. You lying piece of sh*t. Yes", ["🎉 Join us now.", "You lying piece of sh*t.", "Yes"]),
     ("天已经下雨了……大家都没带伞。好", ["天已经下雨了……大家都没带伞。", "好"]),
+    ("Er rief: „" + "Das ist ein langer Satz. " * 40 + "Ende.“ Dann ging er.", ["Er rief: „" + "Das ist ein langer Satz. " * 40 + "Ende.“", "Dann ging er."]),
+    ("She said ‘" + "I don’t know. " * 30 + "No.’ and left. Bye.", ["She said ‘" + "I don’t know. " * 30 + "No.’ and left.", "Bye."]),
+    ("                1. item after many blanks\n123456. item", ["1. item after many blanks", "123456. item"]),
+    ("1.5 2.5 ... " * 120 + "\nEnd. Yes", [("1.5 2.5 ... " * 120).strip(), "End.", "Yes"]),
     ("", []),
     (" \n\t", []),
     (None, []),
@@ -88,6 +92,9 @@ def test_sentences_cover_all_but_space(spark, texts):
 def test_very_long_text(spark):
     df = spark.createDataFrame([("a", "p", "One here. " * 20_000)], "author string, permlink string, body_for_analysis string")
     assert sentences.split_sentences(df).count() == 20_000
+    lines_ = spark.createDataFrame([("a", "p", "\n".join(f"Line {k} here. Yes" for k in range(60_000)))], df.schema)
+    got = sentences.split_sentences(lines_)
+    assert got.where("sentence = 'Yes' or sentence rlike '^Line [0-9]+ here[.]$'").count() == 120_000
 
 
 # repeated lines
