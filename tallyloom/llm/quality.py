@@ -1,12 +1,13 @@
 """Per-document text statistics, exact ranks within a language, outlier scores, and lists, tables and junk among prose.
 
-Each statistic gets its exact empirical distribution within the document's language: distinct values are counted, sorted
-by range partitioning and summed with partition offsets. The tail probabilities of a document's statistics are combined
-into one outlier score. A document that is an outlier is named by what most of its characters are: items, table rows
-or unreadable text.
+Each statistic gets its exact empirical distribution within the document's language and over all documents: distinct values are
+counted, sorted by range partitioning and summed with partition offsets. Ranks are taken among the documents that are no
+list, table or junk by the form of most of their lines, so that they do not depend on how many of these there are. For each kind the tail probabilities of
+its statistics are combined into one outlier score. A document is of a kind if it is an outlier in that direction, in its language and
+over all; that most of its characters stand in such lines is checked after it. Verse and short posts share the form of lists; the score tells them apart.
 
 Defined cases: null, empty and blank texts have statistics of 0 and no kind but perhaps `length`; a null length is
-wrong; equal values share one rank; languages with fewer than SMALL documents are ranked among all documents; repeated
+wrong; equal values share one rank; languages with fewer than SMALL documents are ranked among all documents alone; repeated
 rows count once; rows without author or permlink are left out.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ranges import running_sums
@@ -28,10 +29,14 @@ from tallyloom.session import cut, table
 
 #: Common words of a language: so many by the number of documents that hold them, from at least so many documents.
 COMMON, COMMON_DOCS = 150, 5
-#: Languages with fewer documents are ranked among all documents.
+#: Languages with fewer documents of ordinary form have no distribution of their own.
 SMALL = 50
-#: Mean of the negative logarithms of a document's tail probabilities above which it is an outlier.
-OUTLIER = 0.65
+#: Tail probabilities below exp(-FAR) are all as far out: what a sample of some hundred documents can tell.
+FAR = 5.0
+#: Mean of the negative logarithms of a kind's tail probabilities above which a document is an outlier of that kind.
+OUTLIER = 4.05
+#: Rows of the table of ranks up to which it is broadcast; a larger one is joined by shuffle, in so many salted parts.
+BROADCAST_RANKS, SALTS = 500_000, 16
 #: Distinct words that a task holds before it passes its counts on.
 FLUSH = 200_000
 
@@ -44,9 +49,21 @@ SIDES = {
     "ended_lines": "low",
     "common_words": "low",
     "letter_ratio": "low",
+    "item_share": "high",
+    "table_share": "high",
+    "junk_share": "high",
 }
-#: Statistics are kept as whole numbers of this unit, so that equal values are equal.
-UNIT = 10_000
+#: The statistics that are combined for each kind. Junk is odd in many ways, of which some hide others, so two that all junk shares.
+KINDS = {
+    "junk": ("junk_share", "ended_lines"),
+    "table": ("table_share", "digit_ratio", "words_per_line", "common_words"),
+    "list": ("item_share", "ended_lines", "words_per_line", "common_words"),
+}
+#: The share of characters that gives a kind its name.
+SHARE_OF = {"junk": "junk_share", "table": "table_share", "list": "item_share"}
+#: Statistics are kept as whole numbers of 1 / UNIT, so that equal values are equal and the table of ranks is bounded; those of LOGS as log(1 + x).
+UNIT = 1_000
+LOGS = ("words_per_line", "mean_word_length")
 
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-෿ัิ-๎]|['’-](?=[^\W\d_]))*")
 _UNSPACED = re.compile(r"[฀-໿぀-ヿ㐀-鿿]")
@@ -163,19 +180,16 @@ def describe(text: str, common: frozenset[str]) -> dict:
         short = len(_UNSPACED.findall(x)) <= 10 if _UNSPACED.search(x) else 0 < len(ws) <= 10
         items.append(short and not e and not j)
     share = lambda marks: sum(z for z, m in zip(solid, marks) if m) / total
-    in_items = [(k, len(ws)) for k, ws, i in zip(known, words, items) if i]
     out |= {
         "table_share": share(rows) if sum(numeric) >= 3 else 0.0,
         "junk_share": share(junk),
         "item_share": share(items) if sum(items) >= 4 else 0.0,
-        "item_common": sum(k for k, _ in in_items) / max(1, sum(n for _, n in in_items)),
-        "item_words": sum(n for _, n in in_items) / max(1, len(in_items)),
     }
     return out
 
 
 _COUNTS = ["n_chars", "n_words", "n_lines"]
-_SHARES = [*SIDES, "table_share", "junk_share", "item_share", "item_common", "item_words"]
+_SHARES = list(SIDES)
 _SCHEMA = "author string, permlink string, lang string, " + ", ".join(
     [f"{c} bigint" for c in _COUNTS] + [f"{c} bigint" for c in _SHARES]
 )
@@ -227,8 +241,12 @@ def _codes(lang_codes: DataFrame) -> dict[str, str]:
     return out
 
 
+def _whole(name: str, x: float) -> int:
+    return round(UNIT * (math.log1p(x) if name in LOGS else x))
+
+
 def statistics(posts: DataFrame, lang_codes: DataFrame, text: str = "body_for_analysis") -> DataFrame:
-    """One row of statistics, in units of 1 / UNIT but for the counts, for each distinct text of a post."""
+    """One row of statistics, as whole numbers, for each distinct text of a post, with a number of its own (row_id)."""
     codes = _codes(lang_codes)
     texts = posts.where("author is not null and permlink is not null").select(
         "author", "permlink", "dominant_lang", F.coalesce(F.col(text), F.lit("")).alias("__text")
@@ -241,51 +259,64 @@ def statistics(posts: DataFrame, lang_codes: DataFrame, text: str = "body_for_an
             for author, permlink, label, t in zip(part["author"], part["permlink"], part["dominant_lang"], part["__text"]):
                 lang = _lang(label, script_of(t), codes)
                 d = describe(t, common.get(lang, frozenset()))
-                rows.append((author, permlink, lang, *(d[c] for c in _COUNTS), *(round(d[c] * UNIT) for c in _SHARES)))
+                rows.append((author, permlink, lang, *(d[c] for c in _COUNTS), *(_whole(c, d[c]) for c in _SHARES)))
             if rows:
                 yield pd.DataFrame(rows, columns=["author", "permlink", "lang", *_COUNTS, *_SHARES])
 
-    return cut(texts.mapInPandas(run, _SCHEMA).distinct())  # small rows, used several times below
+    # small rows, used several times below
+    return cut(texts.mapInPandas(run, _SCHEMA).distinct().withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def ordinary(half: int = UNIT // 2) -> Column:
+    """Has the document words, and are not most of its characters items, table rows or junk?"""
+    return (F.col("n_words") > 0) & (F.greatest(*SHARE_OF.values()) <= half)
+
+
+def tails(long: DataFrame) -> DataFrame:
+    """(g, stat, v, lo, hi): of each value the share of a group's ordinary documents at or below it, and at or above it.
+
+    long has (g, stat, v, ref); one is added to both counts, so that no tail is empty.
+    """
+    values = long.groupBy("g", "stat", "v").agg(F.sum("ref").alias("c"))
+    summed = running_sums(values, ["g", "stat"], ["v"], {"c": "cum"})
+    totals = values.groupBy("g", "stat").agg(F.sum("c").alias("n"))  # a row for each language and statistic
+    n = F.col("n") + 1
+    return summed.join(F.broadcast(totals), ["g", "stat"]).select(
+        "g", "stat", "v", ((F.col("cum") + 1) / n).alias("lo"), ((F.col("n") - F.col("cum") + F.col("c") + 1) / n).alias("hi")
+    )
 
 
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """stats with outlier_score: the mean over the statistics of -ln of the tail probability, within the language or among
-    all documents, whichever is larger."""
-    langs = stats.groupBy("lang").agg(F.count("*").alias("n"))
-    big = langs.where(F.col("n") >= SMALL).select("lang").withColumn("__g", F.col("lang"))
+    """stats with a score of each kind (list_score, table_score, junk_score) and outlier_score, the mean over all statistics: means of -ln of the
+    tail probabilities, within the language or over all documents, whichever is smaller."""
+    langs = stats.where(ordinary()).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL)
+    big = langs.select("lang", F.col("lang").alias("__g"))  # a row for each language
     rows = stats.join(F.broadcast(big), "lang", "left").withColumn("__g", F.coalesce("__g", F.lit("*")))
-    # each document is ranked in its language and among all, so that a language with many outliers hides none
     groups = F.explode(F.array_distinct(F.array(F.col("__g"), F.lit("*"))))
-    one = rows.select("author", "permlink", "lang", "n_chars", groups.alias("g"), *SIDES)
-    long = one.select(
-        "author", "permlink", "lang", "n_chars", "g",
-        F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in SIDES))).alias("__s"),
-    ).select("author", "permlink", "lang", "n_chars", "g", "__s.stat", "__s.v")
-    values = long.groupBy("g", "stat", "v").agg(F.count("*").alias("c"))
-    summed = running_sums(values, ["g", "stat"], ["v"], {"c": "cum"})
-    totals = values.groupBy("g", "stat").agg(F.sum("c").alias("n"))
-    tails = summed.join(F.broadcast(totals), ["g", "stat"]).select(
-        "g", "stat", "v", (F.col("cum") / F.col("n")).alias("lo"), ((F.col("n") - F.col("cum") + F.col("c")) / F.col("n")).alias("hi")
-    )
+    one = rows.select("row_id", ordinary().cast("bigint").alias("ref"), groups.alias("g"), *SIDES)
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in SIDES)))
+    long = one.select("row_id", "ref", "g", each.alias("__s")).select("row_id", "ref", "g", "__s.stat", "__s.v")
+    ranks = cut(tails(long))
+    if ranks.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS:
+        joined = long.join(F.broadcast(ranks), ["g", "stat", "v"])  # checked: at most BROADCAST_RANKS rows
+    else:  # a value of 0 is most documents', so its rows are spread
+        spread = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = long.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS))).join(spread, ["g", "stat", "v", "salt"])
     side = F.create_map(*(F.lit(x) for kv in SIDES.items() for x in kv))[F.col("stat")]
     p = F.when(side == "low", F.col("lo")).when(side == "high", F.col("hi")).otherwise(F.least(F.lit(1.0), 2 * F.least("lo", "hi")))
-    each = long.join(tails, ["g", "stat", "v"]).withColumn("__l", -F.log(p))
-    scores = each.groupBy("author", "permlink", "lang", "n_chars", "g").agg((F.sum("__l") / len(SIDES)).alias("s"))
-    most = scores.groupBy("author", "permlink", "lang", "n_chars").agg(F.max("s").alias("outlier_score"))
-    return stats.join(most, ["author", "permlink", "lang", "n_chars"])
-
-
-def kinds(scored: DataFrame) -> DataFrame:
-    """scored with kind: what most of an outlier's characters are, or null for prose."""
-    half = UNIT // 2
-    few, plain = F.col("item_words") < int(5.5 * UNIT), F.col("item_common") < int(0.5 * UNIT)
-    listed = (F.col("item_share") > half) & ((few & plain) | (F.col("item_common") < int(0.2 * UNIT)))
-    kind = (
-        F.when(F.col("outlier_score") < OUTLIER, None)
-        .when(F.col("junk_share") > half, "junk")
-        .when(F.col("table_share") > half, "table")
-        .when(listed, "list")
-    )
+    far = joined.withColumn("__l", F.least(F.lit(FAR), -F.log(p)))
+    mean = lambda names: F.sum(F.when(F.col("stat").isin(*names), F.col("__l")).otherwise(0.0)) / len(names)
+    sets = {f"{k}_score": v for k, v in KINDS.items()} | {"outlier_score": tuple(SIDES)}
+    scores = far.groupBy("row_id", "g").agg(*(mean(v).alias(k) for k, v in sets.items()))
+    least = scores.groupBy("row_id").agg(*(F.min(k).alias(k) for k in sets))
+    return stats.join(least, "row_id")
+
+
+def kinds(scored: DataFrame, outlier: float = OUTLIER) -> DataFrame:
+    """scored with kind: the first that the document is an outlier of and that most of its characters confirm, or null for prose."""
+    kind = F.lit(None).cast("string")
+    for name in reversed(KINDS):
+        kind = F.when((F.col(f"{name}_score") >= outlier) & (F.col(SHARE_OF[name]) > UNIT // 2), name).otherwise(kind)
     return scored.withColumn("kind", kind)
 
 
@@ -304,9 +335,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post's statistics with its outlier score and kind."""
     posts = table(spark, sf_dir, "hive_cleaned")
-    return kinds(outlier_scores(statistics(posts, table(spark, sf_dir, "lang_codes")))).withColumn(
-        "outlier_score", F.round("outlier_score", 6)
-    )
+    scored = kinds(outlier_scores(statistics(posts, table(spark, sf_dir, "lang_codes")))).drop("row_id")
+    return scored.withColumns({c: F.round(c, 6) for c in scored.columns if c.endswith("_score")})
 
 
 def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

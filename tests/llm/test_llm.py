@@ -378,22 +378,40 @@ def test_kinds_of_lines():
     assert d("")["n_words"] == 0
 
 
-def test_exact_tails_by_brute_force(spark, small):
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_exact_tails_by_brute_force(spark, small, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_RANKS", most)  # both ways to join the ranks
     stats = quality.statistics(table(spark, small, "hive_cleaned"), table(spark, small, "lang_codes"))
     got = quality.outlier_scores(stats).toPandas()
-    n = got.groupby("lang").lang.transform("size")
-    want = []
-    for _, r in got.iterrows():
-        groups = [got] + ([got[got.lang == r.lang]] if n[r.name] >= quality.SMALL else [])
-        scores = []
-        for g in groups:
-            s = 0.0
-            for stat, side in quality.SIDES.items():
-                lo, hi = (g[stat] <= r[stat]).mean(), (g[stat] >= r[stat]).mean()
-                s -= math.log({"low": lo, "high": hi, "both": min(1.0, 2 * min(lo, hi))}[side])
-            scores.append(s / len(quality.SIDES))
-        want.append(max(scores))
-    assert np.allclose(got.outlier_score, want)
+    plain = (got.n_words > 0) & (got[list(quality.SHARE_OF.values())].max(axis=1) <= quality.UNIT // 2)
+    n = plain.groupby(got.lang).transform("sum")
+    sets = {f"{k}_score": v for k, v in quality.KINDS.items()} | {"outlier_score": tuple(quality.SIDES)}
+    for i, r in got.iterrows():
+        refs = [got[plain]] + ([got[plain & (got.lang == r.lang)]] if n[i] >= quality.SMALL else [])
+        for name, stats_ in sets.items():
+            scores = []
+            for g in refs:
+                s = 0.0
+                for stat in stats_:
+                    lo, hi = (((g[stat] <= r[stat]).sum() + 1) / (len(g) + 1), ((g[stat] >= r[stat]).sum() + 1) / (len(g) + 1))
+                    s += min(quality.FAR, -math.log({"low": lo, "high": hi, "both": min(1.0, 2 * min(lo, hi))}[quality.SIDES[stat]]))
+                scores.append(s / len(stats_))
+            assert r[name] == pytest.approx(min(scores))
+
+
+def test_the_score_decides_what_form_cannot(spark):
+    """Verse has the lines of a list; without the score it would be one, and without outliers nothing has a kind."""
+    prose = "The road was long and the day was warm, so we sat down by the river and talked of what we had seen. It was good to rest in the shade."
+    fruit = ["green pears", "red plums", "dried figs", "white grapes", "sour cherries", "ripe melons"]
+    rows = [("a", f"p{k}", f"{prose} On day {k} the {fruit[k % 6]} were sold.\nIn the end all of us went home, and it was late in the night.") for k in range(300)]
+    rows += [("l", f"l{k}", "\n".join(fruit[j % 6].split()[1] for j in range(k, k + 9))) for k in range(12)]
+    rows += [("v", f"v{k}", "\n".join(["the day was long and so was the road", "and we sat by the river in the shade", "it was good to talk of the day", "so all of us went home in the night"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "author string, permlink string, body_for_analysis string").withColumn("dominant_lang", F.lit("en"))
+    codes = spark.createDataFrame([("en", "eng", "English")], "code string, code3 string, lang_name string")
+    scored = quality.outlier_scores(quality.statistics(df, codes)).cache()
+    found = lambda least: {r.author for r in quality.kinds(scored, least).where("kind = 'list'").collect()}
+    assert scored.where(f"author = 'v' and item_share > {quality.UNIT // 2}").count() == 3
+    assert found(quality.OUTLIER) == {"l"} and found(0.0) == {"l", "v"} and found(99.0) == set()
 
 
 def test_quality_edge_cases(spark):
