@@ -401,11 +401,13 @@ def test_exact_tails_by_brute_force(spark, small, monkeypatch, most):
 
 def test_the_score_decides_what_form_cannot(spark):
     """Verse has the lines of a list; without the score it would be one, and without outliers nothing has a kind."""
+    rng = np.random.default_rng(9)
+    name = lambda: "".join(rng.choice(list("kmtrs")) + rng.choice(list("aeiou")) for _ in range(4))
     prose = "The road was long and the day was warm, so we sat down by the river and talked of what we had seen. It was good to rest in the shade."
-    fruit = ["green pears", "red plums", "dried figs", "white grapes", "sour cherries", "ripe melons"]
-    rows = [("a", f"p{k}", f"{prose} On day {k} the {fruit[k % 6]} were sold.\nIn the end all of us went home, and it was late in the night.") for k in range(300)]
-    rows += [("l", f"l{k}", "\n".join(fruit[j % 6].split()[1] for j in range(k, k + 9))) for k in range(12)]
-    rows += [("v", f"v{k}", "\n".join(["the day was long and so was the road", "and we sat by the river in the shade", "it was good to talk of the day", "so all of us went home in the night"])) for k in range(3)]
+    rows = [("a", f"p{k}", f"{prose} We met {' and '.join(name() for _ in range(2 + k % 15))}.\nIn the end all of us went home, and it was late in the night.") for k in range(300)]
+    rows += [("l", f"l{k}", "\n".join(name() for _ in range(9))) for k in range(12)]
+    verse = ["the day was long and so was the road", "and we sat by the river in the shade", "it was good to rest and the day was warm", "so all of us went home in the night"]
+    rows += [("v", f"v{k}", "\n".join(verse)) for k in range(3)]
     df = spark.createDataFrame(rows, "author string, permlink string, body_for_analysis string").withColumn("dominant_lang", F.lit("en"))
     codes = spark.createDataFrame([("en", "eng", "English")], "code string, code3 string, lang_name string")
     scored = quality.outlier_scores(quality.statistics(df, codes)).cache()
