@@ -4,7 +4,7 @@ Models of one and two words are trained for each subject on a bounded sample of
 refined unit by unit (a unit is a sentence or line): expectation-maximisation shares each unit among the subjects and the background, as
 labels are wrong at times and posts stray. Background counts of the models' n-grams come from the whole corpus. Each
 unit's per-token cross-entropies under the subject models are compared with the background's; a post has each subject
-that wins enough of its units.
+that wins enough of its units. What a unit must win by is calibrated, for each subject, on the raters' posts under models that have not seen them.
 
 Defined cases: null, blank and foreign texts have no subject; repeated rows count once; rows without author or permlink
 are left out; labels outside the given subjects are not used; without usable labels nothing is found.
@@ -37,8 +37,10 @@ ROUNDS = 10
 CORPUS_SHARE = 0.05
 #: Times that an n-gram must be more frequent in posts with a subject's label than overall to count for the subject in full.
 LIFT = 2.8
-#: A unit belongs to a subject that beats the background and the next subject by so many nats.
-MIN_GAIN, MIN_LEAD = 1.2, 0.7
+#: A unit belongs to a subject that beats the background by so many nats for each token, and the next subject by this part of it.
+MIN_GAIN, LEAD = 0.3, 0.6
+#: Gains that calibration tries, and labels of a subject from which it has a gain of its own.
+GAINS, LEAST_RATED = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5), 20
 #: Units that make a subject.
 MIN_UNITS = 2
 #: A subject with a single unit is accepted if no other has one and the unit is at least this share of the post.
@@ -197,50 +199,81 @@ def train(posts: list[list[list[str]]], labels: list[dict[int, float]], n_subjec
     return grams, counts, neutral, purity
 
 
-def gains(grams: Grams, ratios: np.ndarray, texts: list[str]) -> Iterator[np.ndarray]:
-    """For each text the gains (units, subjects) of its units over the background."""
-    for text in texts:
-        unit_ids = [i for i in map(grams.ids, units_of(text)) if i]
-        if not unit_ids:
-            yield np.zeros((0, ratios.shape[1]), np.float32)
-            continue
-        starts = np.cumsum([0, *map(len, unit_ids[:-1])])
-        yield np.add.reduceat(ratios[[i for u in unit_ids for i in u]], starts, axis=0)
+def unit_gains(grams: Grams, ratios: np.ndarray, units: list[list[str]]) -> np.ndarray:
+    """Per-token gains (units, subjects) of a post's units: the background's cross-entropy less the subject's."""
+    unit_ids = [i for i in map(grams.ids, units) if i]
+    if not unit_ids:
+        return np.zeros((0, ratios.shape[1]), np.float32)
+    sizes = np.array([len(u) for u in unit_ids])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.add.reduceat(ratios[[i for u in unit_ids for i in u]], starts, axis=0) / sizes[:, None]
 
 
-def accepted(gain: np.ndarray, min_gain: float = MIN_GAIN, min_lead: float = MIN_LEAD, min_units: int = MIN_UNITS, lone: bool = True) -> dict[int, int]:
-    """Subjects of a post and the units that each wins.
+def accepted(gain: np.ndarray, least: float | np.ndarray = MIN_GAIN, lone: bool = True) -> dict[int, int]:
+    """Subjects of a post and the units that each wins; least is the gain that a unit needs, for all subjects or for each.
 
-    A subject with min_units units is accepted; with one unit it is only if no other subject has any and the post is short (lone).
+    A subject with MIN_UNITS units is accepted; with one unit it is only if no other subject has any and the post is short (lone).
     """
     if not len(gain):
         return {}
     best = gain.argmax(axis=1)
+    need = np.broadcast_to(least, gain.shape[1:])[best]
     top = gain[np.arange(len(gain)), best]
     rest = np.partition(gain, -2, axis=1)[:, -2] if gain.shape[1] > 1 else np.zeros(len(gain))
-    won = Counter(best[(top >= min_gain) & (top - rest >= min_lead)].tolist())
-    found = {s: n for s, n in won.items() if n >= min_units}
+    won = Counter(best[(top >= need) & (top - rest >= LEAD * need)].tolist())
+    found = {s: n for s, n in won.items() if n >= MIN_UNITS}
     if lone and not found and len(won) == 1 and LONE_SHARE * len(gain) <= 1:
         return dict(won)
     return found
 
 
-def calibrate(gain: list[np.ndarray], labels: list[set[int]]) -> dict:
-    """The acceptance rule that agrees best with the raters: the share of labels found, less that of other subjects
-    accepted in posts with one label, weighed down as raters name one subject of two at times."""
-    best, rule = -np.inf, {}
-    for min_gain in (0.8, 1.2, 1.8, 2.5):
-        for lone in (False, True):
-            hit = miss = extra = 0
-            for g, own in zip(gain, labels):
-                got = set(accepted(g, min_gain, MIN_LEAD, MIN_UNITS, lone))
-                hit += len(got & own)
-                miss += len(own - got)
-                extra += len(got - own)
-            score = (hit - 0.5 * extra) / max(1, hit + miss)
-            if score > best + 1e-9:
-                best, rule = score, {"min_gain": min_gain, "lone": lone}
-    return rule
+def calibrate(gain: list[np.ndarray], labels: list[set[int]], n_subjects: int) -> dict:
+    """The acceptance rule that agrees best with raters on posts that the models have not seen.
+
+    Agreement is the share of labels found, less that of other subjects accepted, weighed down as raters name one subject of two at
+    times. First one gain for all subjects, then one for each subject with labels enough; ties keep the middle of the best gains.
+    """
+
+    def agreement(least: np.ndarray, lone: bool, only: int | None = None) -> float:
+        hit = extra = n = 0
+        for g, own in zip(gain, labels):
+            got = set(accepted(g, least, lone))
+            if only is not None:
+                got, own = got & {only}, own & {only}
+            hit, extra, n = hit + len(got & own), extra + len(got - own), n + len(own)
+        return (hit - 0.5 * extra) / max(1, n)
+
+    def middle(scores: list[float]) -> int:
+        good = [k for k, x in enumerate(scores) if x >= max(scores) - 1e-9]
+        return good[len(good) // 2]
+
+    if not labels:
+        return {"least": np.full(n_subjects, MIN_GAIN), "lone": True}
+    each = {lone: [agreement(np.full(n_subjects, g), lone) for g in GAINS] for lone in (True, False)}
+    lone = max(each[True]) >= max(each[False])
+    least = np.full(n_subjects, GAINS[middle(each[lone])])
+    for s in range(n_subjects):
+        if sum(s in own for own in labels) >= LEAST_RATED:
+            tried = [np.where(np.arange(n_subjects) == s, g, least) for g in GAINS]
+            scores = [agreement(t, lone, s) for t in tried]
+            if max(scores) > agreement(least, lone, s) + 0.01:
+                least = tried[middle(scores)]
+    return {"least": least, "lone": lone}
+
+
+def held_out_gains(units: list[list[list[str]]], own: list[dict[int, float]], rated: list[int], n_subjects: int) -> list[np.ndarray]:
+    """Gains of the rated posts, each under models trained without it: the rated posts are halved, the other half and all else train."""
+    out: dict[int, np.ndarray] = {}
+    for half in (rated[::2], rated[1::2]):
+        if not half:
+            continue
+        left_out = set(half)
+        keep = [k for k in range(len(units)) if k not in left_out]
+        grams, counts, neutral, purity = train([units[k] for k in keep], [own[k] for k in keep], n_subjects)
+        whole = grams.counts(np.array([i for k in keep for u in units[k] for i in grams.ids(u)], np.int64))
+        ratios = np.ascontiguousarray(log_ratios(grams, counts, neutral, whole, purity).T)
+        out |= {k: unit_gains(grams, ratios, units[k]) for k in half}
+    return [out[k] for k in rated]
 
 
 def sample(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str) -> tuple[list[str], list[list[list[str]]], list[dict[int, float]], list[set[int]]]:
@@ -308,14 +341,13 @@ def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text
     part = neutral / np.maximum(neutral + counts.sum(axis=0), 1e-9)
     ratios = np.ascontiguousarray(log_ratios(grams, counts, full * part, full, purity).T)
     rated = [k for k, r in enumerate(raters) if r]
-    unit_gain = lambda us: [np.add.reduceat(ratios[[i for u in x for i in u]], np.cumsum([0, *map(len, x[:-1])]), axis=0) if x else np.zeros((0, len(names)))
-                            for x in ([i for i in map(grams.ids, u) if i] for u in us)]
-    rule = calibrate(unit_gain([units[k] for k in rated]), [raters[k] for k in rated]) if rated else {}
+    rule = calibrate(held_out_gains(units, own, rated, len(names)), [raters[k] for k in rated], len(names))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for a, p, g in zip(part["author"], part["permlink"], gains(grams, ratios, part["__text"])):
+            for a, p, t in zip(part["author"], part["permlink"], part["__text"]):
+                g = unit_gains(grams, ratios, units_of(t))
                 rows += [(a, p, names[s], n, len(g)) for s, n in accepted(g, **rule).items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["author", "permlink", "subject", "n_units", "total_units"])

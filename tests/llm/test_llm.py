@@ -458,6 +458,24 @@ def test_subjects_on_held_out_posts(spark):
     assert subjects.find_subjects(df.withColumn("category", F.lit(None).cast("string")), none, subs).count() == 0
 
 
+def test_calibration_is_held_out_and_for_each_subject():
+    names, posts, truth = _subject_corpus(120)
+    units = [subjects.units_of(t) for t in posts]
+    own = [{names.index(s): 1.0 for s in t} for t in truth]
+    seen, real = [], subjects.train
+    subjects.train = lambda posts_, *x: seen.append(len(posts_)) or real(posts_, *x)
+    try:
+        got = subjects.held_out_gains(units, own, list(range(0, 60)), len(names))
+    finally:
+        subjects.train = real
+    assert seen == [90, 90] and [len(g) for g in got] == [len(u) for u in units[:60]]
+    # one subject's units need more than the others'
+    gain = [np.array([[0.45 if s == k % 3 else 0.0 for s in range(3)]] * 2 + [[0.0, 0.0, 0.3]] * 2) for k in range(90)]
+    rule = subjects.calibrate(gain, [{k % 3} for k in range(90)], 3)
+    assert rule["least"][2] > 0.3 and all(set(subjects.accepted(g, **rule)) == {k % 3} for k, g in enumerate(gain))
+    assert subjects.calibrate([], [], 3)["least"].tolist() == [subjects.MIN_GAIN] * 3
+
+
 # languages
 
 def test_backpropagation_through_time():
