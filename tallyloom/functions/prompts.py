@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import WS
+
 
 def message(role: str, *parts: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *parts).alias("content"))
@@ -33,7 +35,12 @@ def search_query(reply: Column, title: Column) -> Column:
 
 
 def recapitalize(text: Column) -> Column:
-    """Each sentence with a capital at its start."""
-    parts = F.split(text, r"(?<=[.!?])\s+")
-    up = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))
-    return F.array_join(F.transform(parts, lambda s: up(s)), " ")
+    """text with a capital for each small letter a to z at its start, or after an end mark and white space."""
+
+    def raised(part: Column) -> Column:
+        place = F.length(F.regexp_extract(part, f"^[{WS}]*", 0)) + 1
+        first = F.substring(part, place, F.lit(1))
+        return F.when(first.rlike("^[a-z]$"), F.concat(F.substring(part, F.lit(1), place - 1), F.upper(first), F.substring(part, place + 1, F.length(part)))).otherwise(part)
+
+    parts = F.split(F.regexp_replace(text, f"^[{WS}]+(?=[a-z])", ""), f"(?<=[.!?])(?=[{WS}])")
+    return F.array_join(F.transform(parts, raised), "")

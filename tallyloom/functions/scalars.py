@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Categories that count as political.
-POLITICAL = (
-    "election_campaign", "election_fraud", "foreign_policy", "domestic_policy", "political_violence",
-    "political_commentary", "other_political", "non_us_politics",
+# Categories that count as political (the last one in the broad sense alone), and the others.
+POLITICAL_US = (
+    "election_campaign", "election_fraud", "trump_administration", "biden_administration", "foreign_policy", "domestic_policy",
+    "political_violence", "political_commentary", "other_political",
+)
+POLITICAL = (*POLITICAL_US, "non_us_politics")
+NONPOLITICAL = (
+    "crypto_finance", "gaming", "travel_lifestyle", "entertainment", "technology", "personal", "non_us_politics", "community_platform", "other_noise",
 )
 # The six verdict classes from false to true, with their ranks.
 VERDICTS = {"false": 0, "mostly_false": 1, "mixed": 2, "mostly_true": 3, "true": 4}

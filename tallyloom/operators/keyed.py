@@ -92,33 +92,22 @@ def conform(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
 def capped_apportion(total: int, weights: dict, caps: dict) -> dict:
     """Whole quotas that add up to min(total, all caps), in proportion to weights, none above its cap.
 
-    What a full unit cannot take goes to the others in proportion to their weights; rests go to the largest remainders,
-    ties to the smaller key.
+    In each round the units with room share what is left by weight, rounded down and up to their room. A round that would give
+    nothing gives one each by falling remainder (in the given order without weights) until all is given.
     """
     quota = dict.fromkeys(weights, 0)
-    left = min(total, sum(min(caps.get(k, 0), total) for k in weights))
-    open_ = {k for k in weights if caps.get(k, 0) > 0 and weights[k] > 0}
-    spare = {k for k in weights if caps.get(k, 0) > 0} - open_
+    left = int(min(total, sum(caps.values())))
     while left > 0:
-        if not open_:
-            if not spare:
-                break
-            open_, spare = spare, set()
-        mass = sum(weights[k] for k in open_)
-        ideal = {k: left * (weights[k] / mass if mass else 1 / len(open_)) for k in open_}
-        full = {k for k in open_ if quota[k] + int(ideal[k]) >= caps[k]}
-        if full:
-            for k in full:
-                left -= caps[k] - quota[k]
-                quota[k] = caps[k]
-            open_ -= full
-            continue
-        for k in open_:
-            quota[k] += int(ideal[k])
-        left -= sum(int(v) for v in ideal.values())
-        for k in sorted(open_, key=lambda k: (int(ideal[k]) - ideal[k], k)):
-            if left and quota[k] < caps[k]:
-                quota[k] += 1
-                left -= 1
-        open_ = {k for k in open_ if quota[k] < caps[k]}
+        room = {k: caps[k] - n for k, n in quota.items() if n < caps[k]}
+        if not room:
+            break
+        mass = sum(weights[k] for k in room)
+        ideal = {k: left * weights[k] / mass if mass > 0 else 0.0 for k in room}
+        given = {k: min(int(ideal[k]), room[k]) for k in room}
+        if not any(given.values()):
+            by_rest = sorted(room, key=lambda k: int(ideal[k]) - ideal[k])
+            given = dict.fromkeys(by_rest[:left], 1)
+        for k, n in given.items():
+            quota[k] += n
+        left -= sum(given.values())
     return quota

@@ -8,7 +8,9 @@ from tallyloom.functions import cleaning as C
 from tallyloom.functions import prompts as M
 from tallyloom.functions import scalars as S
 from tallyloom.operators import keyed as K
+from tallyloom.operators.language import language_profile
 from tallyloom.plans import claims as CL
+from tallyloom.plans import posts as P
 from tallyloom.plans.registry import query
 from tallyloom.session import table
 from tallyloom.sources import remote
@@ -62,20 +64,54 @@ def posts_eligible(spark, d):
     return posts.withColumn("doc_id", F.concat("author", F.lit("/"), "permlink")).join(scored, "doc_id", "left_semi").select("author", "permlink")
 
 
-@query(
-    "english_share",
-    r"""with s as (select distinct author, permlink, coalesce(body_clean, '') as t from hive_english_filtered), w as (select *, len(regexp_extract_all(lower(t), '\b(?:the|and|of|to|in|is|was|it|for|that)\b')) as hits, len(regexp_extract_all(t, '[A-Za-z]+')) as words, length(trim(t)) as n from s)
-select author, permlink, case when n = 0 then 'empty' when n < 30 then 'too_short' when hits::double / nullif(words, 0) >= 0.1 then 'kept' else 'dropped_low_english' end as status, round(coalesce(hits::double / nullif(words, 0), 0), 9) as share from w""",
-)
-def english_share(spark, d):
-    """Status of each post by a stand-in detector, in the order empty, too short, kept, dropped."""
-    t = F.coalesce("body_clean", F.lit(""))
-    p = table(spark, d, "hive_english_filtered").select("author", "permlink", t.alias("t")).distinct()
-    n = lambda c, r: F.regexp_count(c, F.lit(r)).cast("double")
-    ratio = F.try_divide(n(F.lower("t"), r"\b(?:the|and|of|to|in|is|was|it|for|that)\b"), n(F.col("t"), "[A-Za-z]+"))
-    size = F.length(F.trim("t"))
-    status = F.when(size == 0, "empty").when(size < 30, "too_short").when(ratio >= 0.1, "kept").otherwise("dropped_low_english")
-    return p.select("author", "permlink", status.alias("status"), F.round(F.coalesce(ratio, F.lit(0.0)), 9).alias("share"))
+# Function words by which the stand-in detector knows three languages.
+_WORDS_OF = {"en": "the and of to in is was it for that we my", "es": "el la los de que y en un una para con por", "de": "der die das und ist nicht ein eine mit auf ich zu"}
+
+
+def _is_one_of(words):
+    return lambda w: w.isin(*words)
+
+
+def rule_detector(sentence):
+    """A stand-in for a detector of languages: the one of three whose function words are most, the first among equals, unless there are none."""
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"\p{L}+"), F.lit(0))
+    en, es, de = (F.size(F.filter(words, _is_one_of(_WORDS_OF[k].split(" ")))) for k in _WORDS_OF)
+    return F.when(en + es + de == 0, "und").when((en >= es) & (en >= de), "en").when(es >= de, "es").otherwise("de")
+
+
+_N = {k: rf"len(list_filter(regexp_extract_all(lower(s), '\p{{L}}+'), lambda w: list_contains({v.split(' ')}, w)))" for k, v in _WORDS_OF.items()}
+_DETECT = f"case when {_N['en']} + {_N['es']} + {_N['de']} = 0 then 'und' when {_N['en']} >= {_N['es']} and {_N['en']} >= {_N['de']} then 'en' when {_N['es']} >= {_N['de']} then 'es' else 'de' end"
+_PROFILE = rf"""(with t as (select author, permlink, any_value(coalesce(body_clean, '')) as t from hive_english_filtered where author is not null and permlink is not null group by 1, 2),
+lines as (select author, permlink, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from t),
+parts as (select author, permlink, k, unnest(string_split(regexp_replace(trim(line), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(trim(line), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as j from lines),
+clean as (select author, permlink, k, j, {P.sql_chain("s", P._LANG_STEPS)} as s from parts),
+judged as (select author, permlink, k, j, length(s) as n, {_DETECT} as l from clean where length(s) >= 15),
+per as (select author, permlink, l, sum(n) as n, min((k, j)) as first from judged group by all),
+best as (select author, permlink, sum(n) as total, sum(n) filter (where l = 'en') as own, arg_max(l, (n, -first[1], -first[2])) as l from per group by all)
+select t.author, t.permlink, case when trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' then 'empty' when coalesce(total, 0) < 30 then 'too_short' when coalesce(own, 0) / total::double >= 0.9 then 'kept' else 'dropped_low_english' end as lang_status,
+  case when coalesce(total, 0) < 30 then 0 else round(coalesce(own, 0) / total::double, 9) end as pct_english, case when coalesce(total, 0) < 30 then '' else l end as dominant_lang from t left join best using (author, permlink))"""
+
+
+def _profiles(spark, d):
+    posts = table(spark, d, "hive_english_filtered").where("author is not null and permlink is not null").select("author", "permlink", "body_clean")
+    # repeated rows of a post have one text; the smallest is taken where they had several
+    posts = posts.groupBy("author", "permlink").agg(F.min("body_clean").alias("body_clean"))
+    return language_profile(posts, "body_clean", lambda ss: F.transform(ss, rule_detector)).select(
+        "author", "permlink", "lang_status", F.round("pct_english", 9).alias("pct_english"), "dominant_lang"
+    )
+
+
+@query("language_filter", f"select * from {_PROFILE}")
+def language_filter(spark, d):
+    """Share of English, dominant language and status of every post, sentence by sentence."""
+    return _profiles(spark, d)
+
+
+@query("language_filter_report", f"select lang_status, dominant_lang, count(*) as n_posts, round(100.0 * count(*) / (select count(*) from {_PROFILE}), 2) as pct from {_PROFILE} group by all")
+def language_filter_report(spark, d):
+    each = _profiles(spark, d)
+    n = each.groupBy("lang_status", "dominant_lang").agg(F.count("*").alias("n_posts"))
+    return n.select("lang_status", "dominant_lang", "n_posts", F.round(100 * F.col("n_posts") / n.agg(F.sum("n_posts")).scalar(), 2).alias("pct"))
 
 
 @query("first_per_author", "select author, arg_min(permlink, (created, permlink)) as first_permlink, arg_max(permlink, (created, permlink)) as last_permlink from hive_classified group by 1")

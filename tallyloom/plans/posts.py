@@ -146,28 +146,32 @@ def status_counts(spark, d):
     return n.select("lang_status", "n", F.round(100 * F.col("n") / n.agg(F.sum("n")).scalar(), 2).alias("pct"))
 
 
+#: All topics in order, as a topic that is part of a reply's, or the other way round, stands for it; the first does.
+_TOPICS = sorted({*S.POLITICAL, *S.NONPOLITICAL})
+_TOPIC_LIST = "[" + ", ".join(f"'{t}'" for t in _TOPICS) + "]"
+
+
 @query(
     "label_parse",
-    f"""with raw as (select distinct category from hive_classified), p as (select category, strpos(coalesce(category, ''), '|') > 0 as piped,
-  upper(trim(split_part(category, '|', 1))) as head, lower(regexp_replace(trim(substr(category, strpos(category, '|') + 1)), '[\\s-]', '_', 'g')) as tail from raw)
-select category, case when not piped then 'PARSE_ERROR' when starts_with(head, 'YES') then 'YES' when starts_with(head, 'NO') then 'NO' else 'PARSE_ERROR' end as label,
-  case when tail in ({_POLITICAL}, 'community_platform', 'crypto_finance', 'entertainment', 'gaming', 'personal', 'technology', 'travel_lifestyle', 'other_noise') then tail
-    when piped and starts_with(head, 'YES') then 'other_political' else 'other_noise' end as topic from p""",
+    f"""with raw as (select distinct category from hive_classified), r as (select category, trim(coalesce(category, ''), ' ' || chr(9) || chr(10) || chr(13)) as reply from raw),
+p as (select *, strpos(reply, '|') > 0 as piped, upper(trim(split_part(reply, '|', 1))) as head, replace(lower(trim(substr(reply, strpos(reply, '|') + 1))), ' ', '_') as tail from r),
+q as (select *, case when piped and starts_with(head, 'YES') then 'YES' when piped and starts_with(head, 'NO') then 'NO' else 'PARSE_ERROR' end as label from p)
+select category, label, case when label = 'PARSE_ERROR' then left(reply, 50) when list_contains({_TOPIC_LIST}, tail) then tail
+  else coalesce(list_filter({_TOPIC_LIST}, lambda v: contains(tail, v) or contains(v, tail))[1], case label when 'YES' then 'other_political' else 'other_noise' end) end as topic from q""",
 )
 def label_parse(spark, d):
-    """Class and topic of a labelling reply `CLASS|topic`; unknown topics fall to the class's rest."""
-    c = F.col("category")
-    piped = F.instr(F.coalesce(c, F.lit("")), F.lit("|")) > 0
-    head = F.upper(F.trim(F.get(F.split(c, r"\|", 2), F.lit(0))))
-    rest = F.when(piped, F.get(F.split(c, r"\|", 2), F.lit(1))).otherwise(c)
-    tail = F.lower(F.regexp_replace(F.trim(rest), r"[\s-]", "_"))
-    topics = (*S.POLITICAL, "community_platform", "crypto_finance", "entertainment", "gaming", "personal", "technology", "travel_lifestyle", "other_noise")
-    yes = head.startswith("YES")
-    return table(spark, d, "hive_classified").select("category").distinct().select(
-        "category",
-        F.when(~piped, "PARSE_ERROR").when(yes, "YES").when(head.startswith("NO"), "NO").otherwise("PARSE_ERROR").alias("label"),
-        F.when(tail.isin(*topics), tail).when(piped & yes, "other_political").otherwise("other_noise").alias("topic"),
-    )
+    """Class and topic of a labelling reply `CLASS|topic`; a reply that cannot be read keeps its first 50 characters as topic."""
+    reply = C.strip_space(F.coalesce("category", F.lit("")))
+    piped = F.instr(reply, F.lit("|")) > 0
+    part = lambda k: C.strip_space(F.coalesce(F.get(F.split(reply, r"\|", 2), F.lit(k)), F.lit("")))
+    head, tail = F.upper(part(0)), F.replace(F.lower(part(1)), F.lit(" "), F.lit("_"))
+    label = F.when(piped & head.startswith("YES"), "YES").when(piped & head.startswith("NO"), "NO").otherwise("PARSE_ERROR")
+    topics = F.array(*map(F.lit, _TOPICS))
+    near = F.get(F.filter(topics, lambda v: F.contains(F.col("tail"), v) | F.contains(v, F.col("tail"))), F.lit(0))
+    rest = F.when(F.col("label") == "YES", "other_political").otherwise("other_noise")
+    rows = table(spark, d, "hive_classified").select("category").distinct().select("category", reply.alias("reply"), label.alias("label"), tail.alias("tail"))
+    topic = F.when(F.col("label") == "PARSE_ERROR", F.substring("reply", 1, 50)).when(F.array_contains(topics, F.col("tail")), F.col("tail")).otherwise(F.coalesce(near, rest))
+    return rows.select("category", "label", topic.alias("topic"))
 
 
 def _sql_json_len(path: str) -> str:
@@ -202,33 +206,124 @@ def image_link_counts(spark, d):
     )
 
 
-def _sql_chain(col: str, steps: list[tuple[str, str]]) -> str:
+_WS2 = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def re2(pattern: str) -> str:
+    """A pattern in the dialect of DuckDB, with the white space and word characters of Unicode, as an SQL text."""
+    out, k, inside = [], 0, False
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two in (r"\s", r"\w"):
+            cls = _WS2 if two == r"\s" else r"\p{L}\p{N}_"
+            out.append(cls if inside else f"[{cls}]")
+            k += 2
+        elif two == r"\S":
+            out.append(f"[^{_WS2}]")
+            k += 2
+        elif pattern[k] == "\\":
+            out.append(two)
+            k += 2
+        else:
+            inside = pattern[k] == "[" or inside and pattern[k] != "]"
+            out.append(pattern[k])
+            k += 1
+    return "".join(out).replace("'", "''")
+
+
+def sql_chain(col: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        col = f"regexp_replace({col}, '{pattern}', '{to}', 'g')"
+        col = f"regexp_replace({col}, '{re2(pattern)}', {to if to.startswith('chr') else repr(to)}, 'g')"
     return col
 
 
+_NL2 = "chr(10) || chr(10)"
+_STRIP = (r"^\s+|\s+$", "")
+_ANY = r"(?s:.)"
+_LANG_STEPS = [
+    (f"```{_ANY}*?```", " "), (r"`[^`]+`", " "), (r"https?://\S+|www\.\S+", " "), (r"#\w+", " "), (r"\$[A-Z]{2,10}\b", " "), (r"\b[a-zA-Z0-9]{25,}\b", " "), (r"\s+", " "), _STRIP,
+]
+
+
 @query(
     "clean_body",
     "select doc_id, "
-    + _sql_chain("text", [(r"<[^>]+>", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"#{1,6}\s", ""), (r"[*_]{1,3}([^*_]+)[*_]{1,3}", r"\1"), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"^\s+|\s+$", "")])
+    + sql_chain(
+        "coalesce(text, '')",
+        [(r"<[^>]+>", ""), (r"!\[[^\n]*?\]\([^\n]*?\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"#{1,6}\s", ""), (r"\*{1,2}([^*]+)\*{1,2}", r"\1"), (r"\n{3,}", _NL2), _STRIP],
+    ).replace("\\\\1", "\\1")
     + " as clean from documents",
 )
 def clean_body(spark, d):
     return table(spark, d, "documents").select("doc_id", C.clean_body(F.col("text")).alias("clean"))
 
 
+@query("language_text", "select doc_id, " + sql_chain("coalesce(text, '')", _LANG_STEPS) + " as clean from documents")
+def language_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.language_text(F.col("text")).alias("clean"))
+
+
 @query(
-    "language_text",
+    "plain_post",
     "select doc_id, "
-    + _sql_chain("text", [(r"```[\s\S]*?```", " "), (r"`[^`]*`", " "), (r"https?://\S+|www\.\S+", " "), (r"#\w+", " "), (r"\$[A-Z]{2,10}\b", " "), (r"\b[A-Za-z0-9]{25,}\b", " "), (r"\s+", " "), (r"^\s+|\s+$", "")])
+    + sql_chain(
+        "coalesce(text, '')",
+        [(f"```{_ANY}*?```", " "), (r"`[^`]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"<[^>]+>", " "), (r"https?://\S+|www\.\S+", " "), (r"[#>*_~`|]+", " "), (r"\s+", " "), _STRIP],
+    ).replace("\\\\1", "\\1")
     + " as clean from documents",
 )
-def language_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.language_text(F.col("text")).alias("clean"))
+def plain_post(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.plain_post(F.col("text")).alias("clean"))
+
+
+_CODE_NAMES = (
+    r"ipython|python|py|javascript|js|typescript|ts|bash|shell|sh|zsh|fish|powershell|ps|cmd|mysql|postgresql|sqlite|sql|json|yaml|yml|toml|ini|xml|java|kotlin|scala|groovy|cpp|c\+\+|csharp|c#|cs|css|c|"
+    r"rust|rs|rb|golang|go|php|ruby|perl|lua|html|scss|sass|less|dockerfile|makefile|cmake|matlab|octave|diff|patch|regexp|regex|r"
+)
+_TAG = "[a-zA-Z0-9_+#-]"
+_POST_STEPS = [
+    (rf"```(?:(?i:{_CODE_NAMES})(?:[^a-zA-Z0-9_+#-]{_ANY}*?)??|{_TAG}*\s*{_ANY}{{0,99}}?|{_TAG}*\s*({_ANY}*?))```", "chr(57344) || '\\1' || chr(57345)"),
+    ("\ue000\ue001", " "),
+    ("[\ue000\ue001]", ""),
+    (r"`[^`\n]+`", " "),
+    (r"https?://\S+|www\.\S+", " "),
+    (r"(?m)^\s*\|?[\s:|-]+\|?\s*$", ""),
+    (r"(?m)^\s*\|[^\n]*\|\s*$", " "),
+    (r"(?m)^\s*(?:[-*_]\s*){3,}\s*$", ""),
+    (r"(?m)^\s*#{1,6}\s+", ""),
+    (r"(?m)^>\s*", ""),
+    (r"(?m)^\s*(?:[-*+]|\d+\.)\s+", ""),
+    (r"(?m)^\s*\[\^[^\]]+\]:[^\n]*$", ""),
+    (r"(?im)^\s*posted\s+(?:via|using|with|from|on)\s+[^\n]*$", ""),
+    (r"(?:@[a-zA-Z0-9.\-]{3,16}[\s,;]+){4,}@?[a-zA-Z0-9.\-]{0,16}", " "),
+    (r"\$[A-Z]{2,10}\b", " "),
+    (r"\b[a-zA-Z0-9]{25,}\b", " "),
+    (r"\[\^[^\]]+\]", ""),
+    (r"~~([^~]+)~~", r"\1"),
+    (r"(?:#\w+\s*){2,}\s*$", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", r"\1"),
+    (r"\*{1,3}([^*\n]+?)\*{1,3}", r"\1"),
+    *[(r"(^|[^\p{L}\p{N}_])_{1,3}([^_\n]+?)_{1,3}([^\p{L}\p{N}_]|$)", r"\1\2\3")] * 2,  # twice, as neighbours share a character
+    (r"\n{3,}", _NL2),
+    (r"[ \t]+", " "),
+    *[(r"(^|\n)[ \r\x{a0}\x{2000}-\x{200a}\x{3000}]+|[ \r\x{a0}\x{2000}-\x{200a}\x{3000}]+(\n|$)", r"\1\2")] * 2,
+    (r"\n{3,}", _NL2),
+    _STRIP,
+]
+_FOOTER_WORDS = "|".join(
+    [
+        r"thanks?\s+(?:so\s+much\s+)?for\s+(?:reading|stopping\s+by|visiting|watching|taking\s+the\s+time)", r"thank\s+you\s+(?:so\s+much\s+)?for\s+(?:reading|stopping\s+by|visiting|watching|taking\s+the\s+time)",
+        r"have\s+a\s+(?:great|wonderful|nice|good|blessed|amazing|productive)\s+(?:day|week|weekend|evening|night|morning)", r"see\s+you\s+(?:tomorrow|soon|next\s+time|in\s+the\s+next\s+post)",
+        r"until\s+(?:next\s+time|tomorrow|the\s+next\s+post)", r"don'?t\s+forget\s+to\s+(?:upvote|comment|follow|reblog|like|subscribe)", r"if\s+you\s+(?:liked|enjoyed)\s+this\s+post",
+        r"translated\s+(?:with|using)\s+(?:deepl|google\s+translate|chatgpt)", r"for\s+the\s+best\s+experience\s+view\s+this\s+post\s+on",
+    ]
+)
+_CLEAN_POST = f"""with c as (select doc_id, {sql_chain("coalesce(text, '')", _POST_STEPS)} as t from documents),
+f as (select *, greatest(length(t) - 400, 0) as start, regexp_replace(substr(t, greatest(length(t) - 400, 0) + 1), '{re2(r"(?is)" + chr(92) + "b(?:" + _FOOTER_WORDS + ")" + chr(92) + "b.*$")}', '') as before from c)
+select doc_id, case when length(t) >= 200 and start + length(before) < length(t) and start + length(before) >= 0.5 * length(t) then rtrim(substr(t, 1, start + length(before)), ' ' || chr(9) || '.,;:-' || chr(10)) else t end as clean from f""".replace("\\\\", "\\")
 
 
-@query("clean_post")
+@query("clean_post", _CLEAN_POST)
 def clean_post(spark, d):
     return table(spark, d, "documents").select("doc_id", C.clean_post(F.col("text")).alias("clean"))
 
@@ -262,8 +357,8 @@ def sentence_counts(spark, d):
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
 
 
-_BOILER = r"""(len(regexp_extract_all(s, '[A-Za-z]+')) < 3 or length(regexp_replace(s, '[^\p{L}]', '', 'g')) < 0.5 * length(s)
-  or regexp_matches(s, 'https?://|www\.') or (s like '%:' and length(s) < 60) or regexp_matches(s, '^\s*[-*#•]'))"""
+_BOILER = f"""(len(regexp_extract_all(s, '[A-Za-z]+')) < 3 or length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) < 0.5 * length(regexp_replace(s, '[{_WS2}]', '', 'g'))
+  or regexp_matches(s, '(?i)https?://|www\\.') or (s like '%:' and length(s) < 60) or regexp_matches(s, '^(?:[^\\p{{L}}\\p{{N}}_]|_)*[◯∴•▶►★☆✔✅➤·\\-=~*]+[{_WS2}]|^[{_WS2}]*#[\\p{{L}}\\p{{N}}_]'))"""
 
 
 @query("boilerplate_share", f"select doc_id, count(*) as n_sentences, count(*) filter (where {_BOILER}) as n_flagged, round(avg(case when {_BOILER} then 1.0 else 0.0 end), 9) as share from {_SENTS} where s <> '' group by 1")
@@ -363,21 +458,40 @@ def gate_sample(spark, d):
 
 
 _CLAIMY = "least(1::double, 0.02::double * least(length(s), 30) + case when regexp_matches(s, '[0-9]') then 0.3::double else 0::double end)"
+_ABBR = "['mr','mrs','ms','dr','prof','sr','jr','st','vs','etc','inc','ltd','co','u.s','u.k','e.g','i.e','a.m','p.m','no','vol','fig','approx','dept']"
+_MERGED = f"""(select doc_id, {sql_chain("s", [_STRIP])} as s from (select doc_id, unnest(string_split(array_to_string(list_transform(
+    list_filter(string_split(regexp_replace({sql_chain("coalesce(text, '')", [_STRIP])}, '([.!?])[{_WS2}]+', '\\1' || chr(57345), 'g'), chr(57345)), lambda p: p <> ''),
+    lambda p: p || case when list_contains({_ABBR}, rtrim(lower(regexp_replace(regexp_extract(p, '[^{_WS2}]*$'), '[^a-zA-Z.]', '', 'g')), '.')) then ' ' else chr(57345) end), ''), chr(57345))) as s from documents))"""
+
+
+def rule_score(s):
+    """A stand-in for a scorer of check-worthiness: longer sentences and those with numbers score higher."""
+    return F.least(F.lit(1.0), 0.02 * F.least(F.length(s), F.lit(30)) + F.when(s.rlike("[0-9]"), 0.3).otherwise(0.0))
+
+
+def gate(docs: DataFrame, score=rule_score, above: float = 0.85) -> DataFrame:
+    """(doc_id, max_score, n_checkworthy, n_sentences) of documents (doc_id, text); score maps a sentence to a number, by an expression or a pandas function."""
+    rows = docs.select("doc_id", F.explode_outer(C.merged_sentences(F.col("text"))).alias("s"))
+    scored = rows.withColumn("score", F.when(F.col("s").isNotNull(), score(F.col("s"))))
+    return scored.groupBy("doc_id").agg(
+        F.round(F.coalesce(F.max("score"), F.lit(0.0)), 4).alias("max_score"), F.count_if(F.col("score") > above).alias("n_checkworthy"), F.count("score").alias("n_sentences")
+    )
 
 
 @query(
     "sentence_gate",
     f"""select d.doc_id, round(coalesce(max(score), 0), 4) as max_score, count(*) filter (where score > 0.85) as n_checkworthy, count(score) as n_sentences
-from (select distinct doc_id from documents) d left join (select doc_id, {_CLAIMY} as score from {_SENTS} where length(s) >= 15) x using (doc_id) group by 1""",
+from (select distinct doc_id from documents) d left join (select doc_id, {_CLAIMY} as score from {_MERGED} where length(s) >= 15) x using (doc_id) group by 1""",
 )
 def sentence_gate(spark, d):
-    """Per-document maximum, count above the gate and number of sentence scores; the scorer is a stand-in rule."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode_outer(C.sentences(F.coalesce("text", F.lit("")))).alias("s"))
-    score = F.least(F.lit(1.0), 0.02 * F.least(F.length("s"), F.lit(30)) + F.when(F.col("s").rlike("[0-9]"), 0.3).otherwise(0.0))
-    scored = docs.withColumn("score", F.when(F.length("s") >= 15, score))
-    return scored.groupBy("doc_id").agg(
-        F.round(F.coalesce(F.max("score"), F.lit(0.0)), 4).alias("max_score"), F.count_if(F.col("score") > 0.85).alias("n_checkworthy"), F.count("score").alias("n_sentences")
-    )
+    """Per-document maximum, count above the gate and number of sentence scores, with sentences joined over abbreviations."""
+    return gate(table(spark, d, "documents"))
+
+
+@query("merged_sentence_counts", f"select doc_id, count(*) as n_sentences, cast(sum(length(s)) as bigint) as n_chars from {_MERGED} where length(s) >= 15 group by 1")
+def merged_sentence_counts(spark, d):
+    s = table(spark, d, "documents").select("doc_id", F.explode(C.merged_sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
 
 
 @query(

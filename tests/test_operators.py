@@ -43,6 +43,9 @@ def test_apportionment(total, cells):
 
 def test_apportionment_cases():
     assert K.capped_apportion(10, {"a": 1, "b": 1}, {"a": 2, "b": 20}) == {"a": 2, "b": 8}
+    # each round gives whole shares of what is left to all that have room
+    assert K.capped_apportion(10, {"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 9, "c": 9}) == {"a": 1, "b": 6, "c": 3}
+    assert K.capped_apportion(3, {"a": 0, "b": 0}, {"a": 2, "b": 2}) == {"a": 2, "b": 1}
     assert K.capped_apportion(99, {"a": 1, "b": 1}, {"a": 2, "b": 3}) == {"a": 2, "b": 3}
 
 
