@@ -35,9 +35,58 @@ def assert_covered(df: DataFrame, reference: DataFrame, keys: list[str]) -> Data
     return df
 
 
+def checked_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with one row for each key; a key of several rows raises when the plan runs, in the same job."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("__r"))
+    named = F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+    error = F.raise_error(F.concat(F.lit(f"keys {keys} repeat: "), named))
+    one = one.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(error.cast("boolean")))  # a filter, which no pruning of columns can take out
+    return one.select(*keys, *(F.col("__r")[c].alias(c) for c in rest))
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """A join in which each row of left may meet one row of right at most; repeated keys of right raise."""
-    return left.join(assert_unique(right, keys), keys, how)
+    """A join in which each row of left may meet one row of right at most; repeated keys of right raise when the join runs.
+
+    A left join of which no column of right is read is left out by the optimiser, and the check with it; assert_unique checks at once.
+    """
+    return left.join(checked_unique(right, keys), keys, how)
+
+
+def join_normalised(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """A join on a key that is trimmed and case-folded on both sides; keys of right that become equal raise, blank ones meet nothing."""
+    norm = F.nullif(F.lower(F.trim(F.col(key).cast("string"))), F.lit(""))
+    other = checked_unique(right.withColumn("__k", norm).drop(key).where("__k is not null"), ["__k"])
+    return left.withColumn("__k", norm).join(other, "__k", how).drop("__k")
+
+
+def join_suffixed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", suffixes: tuple[str, str] = ("_f", "_u")) -> DataFrame:
+    """A join that keeps columns of both sides, those of one name with the suffix of their side."""
+    both = (set(left.columns) & set(right.columns)) - set(keys)
+    renamed = lambda df, x: df.select(*(F.col(c).alias(c + x if c in both else c) for c in df.columns))
+    return renamed(left, suffixes[0]).join(renamed(right, suffixes[1]), keys, how)
+
+
+def aligned_flags(scored: DataFrame, recomputed: DataFrame, doc: str, idx: str, flag: str) -> DataFrame:
+    """scored (doc, idx) with flag from recomputed (doc, idx, flag), joined by position.
+
+    Where a document has another number of rows in recomputed, all its flags are false, so none can stand at a wrong place.
+    """
+    n = scored.groupBy(doc).agg(F.count("*").alias("__n"))
+    m = recomputed.groupBy(doc).agg(F.count("*").alias("__m"))
+    same = n.join(m, doc).where("__n = __m").select(doc)
+    fits = recomputed.join(same, doc, "left_semi").select(doc, idx, flag)
+    return scored.join(fits, [doc, idx], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def one_hot(c: Column, values: list, prefix: str) -> list[Column]:
+    """A 0/1 column for each value; null gives 0."""
+    return [F.coalesce((c == v).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
+
+
+def mapped_order(c: Column, order: list[str]) -> Column:
+    """Place of c in order, len(order) for other values and null: a sort key."""
+    return F.when(c.isin(*order), F.array_position(F.array(*map(F.lit, order)), c).cast("int") - 1).otherwise(len(order))
 
 
 def todo(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,10 +115,21 @@ def hash_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
+#: Parts of a stratum that are cut to its quota each before the stratum is ordered as a whole.
+PARTS = 32
+
+
 def sample_each(df: DataFrame, strata: list[str], keys: list[str], k: int | Column, seed: int) -> DataFrame:
-    """k rows of each stratum (or all of a smaller one), drawn by hash."""
-    w = Window.partitionBy(*strata).orderBy(hash_order(seed, *keys), *keys)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
+    """k rows of each stratum (or all of a smaller one), those of the lowest hashes.
+
+    The rows of a stratum are spread over parts by hash, each keeps its lowest k, and these alone meet in one task.
+    """
+    rows = df.withColumns({"__h": hash_order(seed, *keys), "__k": F.lit(k) if isinstance(k, int) else k})
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__h"), F.lit(PARTS)))
+    part = Window.partitionBy(*strata, "__part").orderBy("__h", *keys)
+    whole = Window.partitionBy(*strata).orderBy("__h", *keys)
+    rows = rows.withColumn("__rn", F.row_number().over(part)).where("__rn <= __k")
+    return rows.withColumn("__rn", F.row_number().over(whole)).where("__rn <= __k").drop("__rn", "__h", "__k", "__part")
 
 
 def first_present(df: DataFrame, names: list[str]) -> str:
@@ -84,8 +144,10 @@ def drop_present(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(n for n in names if n in df.columns))
 
 
-def conform(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
-    """The columns of schema that df has, in its order, each tried as its type."""
+def conform(df: DataFrame, schema: list[tuple[str, str]], missing: list[str] | None = None) -> DataFrame:
+    """The columns of schema that df has, in its order, each tried as its type; names that df lacks are added to missing."""
+    if missing is not None:
+        missing += [n for n, _ in schema if n not in df.columns]
     return df.select(*(F.col(n).try_cast(t).alias(n) for n, t in schema if n in df.columns))
 
 

@@ -16,13 +16,18 @@ def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean, deviation, range, median, share of zeros and bias-corrected skewness and excess kurtosis."""
     x = F.col(value).cast("double")
     n = F.count(x).cast("double")
+    middle = quantiles(df, value, {"median": 0.5}, by)
     g1, g2 = F.skewness(x), F.kurtosis(x)
     skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.min(x).alias("min"), F.median(x).alias("median"), F.max(x).alias("max"),
+    rows = df.groupBy(*by).agg(
+        F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.round(100 * F.avg((x == 0).cast("double")), 6).alias("pct_zero"), F.round(skew, 6).alias("skew"), F.round(kurt, 6).alias("kurt"),
     )
+    on = F.lit(True)
+    for b in by:
+        on = on & rows[b].eqNullSafe(middle[b])
+    return rows.join(middle, on, "left").select(*(rows[c] for c in rows.columns), "median")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,6 +76,40 @@ def t_p_value(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The t beyond which both tails of Student's t hold p."""
+    low, high = 0.0, 2.0
+    while t_p_value(high, df) > p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_p_value(mid, df) > p else (low, mid)
+    return (low + high) / 2
+
+
+def quantiles(df: DataFrame, value: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, one column for each name of at): exact quantiles with linear interpolation, nulls left out.
+
+    Distinct values are counted and summed over range partitions, so no task holds all values of a group.
+    """
+    by = by or []
+    keys = by or ["__all"]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), *([] if by else [F.lit(0).alias("__all")]))
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    summed = running_sums(counts, keys, ["__v"], {"__c": "__cum"})
+    n = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    on = [summed[k].eqNullSafe(n[k]) for k in keys]
+    both = summed.join(n, on).select(*(summed[k] for k in keys), "__v", "__c", "__cum", "__n")
+    out = []
+    for name, q in at.items():
+        place = F.lit(float(q)) * (F.col("__n") - 1)
+        holds = lambda k: (F.col("__cum") > k) & (F.col("__cum") - F.col("__c") <= k)
+        low, high = F.max(F.when(holds(F.floor(place)), F.col("__v"))), F.max(F.when(holds(F.ceil(place)), F.col("__v")))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return both.groupBy(*keys).agg(*out).select(*by, *at)
+
+
 def welch(df: DataFrame, value: str, group: str, reference: str) -> DataFrame:
     """Difference of each group's mean from the reference's with Welch's t, degrees of freedom and p-value."""
     g = df.groupBy(F.col(group).alias("grp")).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
@@ -108,36 +147,53 @@ def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def _drop_singletons(df: DataFrame, effects: list[str], rounds: int = 20) -> DataFrame:
-    """df without rows whose level of an effect has no other row, until none is left."""
-    for _ in range(rounds if effects else 0):
-        before = df
+def _drop_singletons(df: DataFrame, effects: list[str]) -> DataFrame:
+    """df without rows whose level of an effect has no other row, until none is left.
+
+    Levels are counted and joined, so a level with many rows is counted in parts. Each round but the last takes rows away, so it ends.
+    """
+    n = df.count() if effects else 0
+    while effects:
         for e in effects:
-            df = df.withColumn("__n", F.count("*").over(Window.partitionBy(e))).where("__n > 1").drop("__n")
+            lone = df.groupBy(e).agg(F.count("*").alias("__n")).where("__n = 1").select(e)
+            df = df.join(lone, e, "left_anti")
         df = cut(df)
-        if df.count() == before.count():
+        left, n = n, df.count()
+        if n == left:
             break
     return df
 
 
-def _within(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-10, rounds: int = 100) -> DataFrame:
+def _within(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-10, rounds: int = 1000) -> DataFrame:
     """columns without the effects' means, by alternating projections; one effect needs one round.
 
-    Level means are aggregated and joined back, so a level with many rows is summed in parts.
+    The rows are kept once: what is subtracted is a table of levels for each effect, and a round aggregates the rows less the tables of the
+    other effects. Without convergence after the given rounds an error is raised.
     """
-    for k in range(1 if len(effects) == 1 else rounds):
+    off = {e: df.select(e).distinct().select(e, *(F.lit(0.0).alias(f"__{e}_{c}") for c in columns)) for e in effects}
+
+    def less(which: list[str]) -> DataFrame:
+        out = df
+        for e in which:
+            out = out.join(off[e], e)
+        return out.select(*df.columns[: len(df.columns)], *((F.col(c) - sum((F.col(f"__{e}_{c}") for e in which), F.lit(0.0))).alias(f"__r_{c}") for c in columns))
+
+    for _ in range(1 if len(effects) == 1 else rounds):
+        worst = 0.0
         for e in effects:
-            means = df.groupBy(e).agg(*(F.avg(c).alias(f"__m_{c}") for c in columns))
-            df = df.join(means, e).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in columns}).drop(*(f"__m_{c}" for c in columns))
-        df = cut(df)
+            means = less([x for x in effects if x != e]).groupBy(e).agg(*(F.avg(f"__r_{c}").alias(f"__{e}_{c}") for c in columns))
+            change = means.join(off[e].select(e, *(F.col(f"__{e}_{c}").alias(f"__old_{c}") for c in columns)), e)
+            step = cut(change)
+            off[e] = step.select(e, *(f"__{e}_{c}" for c in columns))
+            top = step.agg(*(F.max(F.abs(F.col(f"__{e}_{c}") - F.col(f"__old_{c}"))).alias(c) for c in columns)).first()
+            worst = max(worst, *(x or 0.0 for x in top))
+        if worst < tolerance:
+            break
+    else:
         if len(effects) > 1:
-            worst = 0.0
-            for e in effects[:-1]:
-                m = df.groupBy(e).agg(*(F.avg(c).alias(c) for c in columns)).agg(*(F.max(F.abs(c)).alias(c) for c in columns)).first()
-                worst = max(worst, *(x or 0.0 for x in m))
-            if worst < tolerance:
-                break
-    return df
+            raise ArithmeticError(f"effects {effects}: not converged after {rounds} rounds, last change {worst}")
+    done = less(effects)
+    return cut(done.select(*(c for c in df.columns if c not in columns), *(F.col(f"__r_{c}").alias(c) for c in columns)))
 
 
 def ols(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None) -> dict:
@@ -181,10 +237,10 @@ def ols(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None) -
     free = n - len(keep) - max(0, levels - max(0, len(effects) - 1))
     v = inv @ m @ inv * n / max(1, free)
     se = np.sqrt(np.maximum(np.diag(v), 0))
-    terms = {}
+    terms, far = {}, t_quantile(0.05, max(1, free))
     for c, s, i in zip(beta, se, keep, strict=True):
         t = c / s if s > 0 else math.inf
-        terms[names[i]] = {"estimate": float(c), "se": float(s), "t": float(t), "p": t_p_value(float(t), max(1, free)), "low": float(c - 1.959964 * s), "high": float(c + 1.959964 * s)}
+        terms[names[i]] = {"estimate": float(c), "se": float(s), "t": float(t), "p": t_p_value(float(t), max(1, free)), "low": float(c - far * s), "high": float(c + far * s)}
     rss = mid.rss or 0.0
     return {
         "terms": terms, "dropped": [names[i] for i in range(k) if i not in keep], "n": n,

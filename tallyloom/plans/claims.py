@@ -144,20 +144,28 @@ def cascade(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
+#: The second model reads titles: an order has one if some line was returned or refused, as its flag says.
+_TITLED = f"(select * from {_THREE} semi join (select distinct l_orderkey as doc_id from lineitem where l_returnflag <> 'N') using (doc_id))"
+
+
+def titled(spark, d, df: DataFrame) -> DataFrame:
+    return df.join(table(spark, d, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
 _CASCADE = f"""(select a.doc_id, case when a.final_label = 'unverified' and b.final_label is not null then b.final_label else a.final_label end as final_label,
   case when a.final_label = 'unverified' then null else a.ordinal end as ordinal,
   case when a.final_label <> 'unverified' then 'model3' when b.final_label is not null then 'model1_fallback' else 'model3_unverified_no_model1_row' end as label_source
-from {_SIX} a left join (select * from {_THREE} where doc_id % 5 <> 0) b using (doc_id))"""
+from {_SIX} a left join {_TITLED} b using (doc_id))"""
 
 
 def _cascaded(spark, d) -> DataFrame:
     c = claims(spark, d)
-    return cascade(rollup_six(c), rollup_three(c).where("doc_id % 5 <> 0"))
+    return cascade(rollup_six(c), titled(spark, d, rollup_three(c)))
 
 
 @query("cascade_label", f"select * from {_CASCADE}")
 def cascade_label(spark, d):
-    """The second model has no row for documents without a title, here every fifth."""
+    """The second model has no row for documents without a title."""
     return _cascaded(spark, d)
 
 
@@ -189,17 +197,17 @@ _BIN = "case when {0} in ('misinformation', 'false', 'mostly_false') then 'misin
     "review_by_post",
     f"""select doc_id, {_BIN.format('final_label')} as pred, final_label, n_trigger, c.final_label3 is not null and {_BIN.format('final_label')} <> 'abstain' and {_BIN.format('c.final_label3')} <> 'abstain' and {_BIN.format('final_label')} <> {_BIN.format('c.final_label3')} as disagree
 from {_SIX} a join (select doc_id, count(*) filter (where {_ROLE} = 'trigger') as n_trigger from {_CLAIMS} group by 1) b using (doc_id)
-left join (select doc_id, final_label as final_label3 from {_THREE} where doc_id % 5 <> 0) c using (doc_id)""",
+left join (select doc_id, final_label as final_label3 from {_TITLED}) c using (doc_id)""",
 )
 def review_by_post(spark, d):
     """One row for each post with its binary label, number of triggers and whether the two models disagree; worst first."""
     c = claims(spark, d)
-    three = rollup_three(c).where("doc_id % 5 <> 0").select("doc_id", F.col("final_label").alias("l3"))
+    three = titled(spark, d, rollup_three(c)).select("doc_id", F.col("final_label").alias("l3"))
     n = c.groupBy("doc_id").agg(F.count_if(S.claim_role(F.col("verdict"), F.col("stance")) == "trigger").alias("n_trigger"))
     a, b = S.binary_label(F.col("final_label")), S.binary_label(F.col("l3"))
     rows = rollup_six(c).join(n, "doc_id").join(three, "doc_id", "left")
     disagree = F.col("l3").isNotNull() & (a != "abstain") & (b != "abstain") & (a != b)
-    order = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ("misinfo", 0, "ok", 1, "abstain", 2))), F.col("pred")), F.lit(9))
+    order = K.mapped_order(F.col("pred"), ["misinfo", "ok", "abstain"])
     return rows.select("doc_id", a.alias("pred"), "final_label", "n_trigger", disagree.alias("disagree")).orderBy(order, "doc_id")
 
 
@@ -221,14 +229,15 @@ def classification_metrics(df: DataFrame, gold: str, pred: str, by: list[str], p
 
 
 _GOLD = "case when o_custkey % 3 = 0 then 'misinfo' else 'ok' end"
-_FULL = f"(select o_orderkey, {_GOLD} as gold, coalesce(final_label, 'no_checkworthy_claim') as lab from orders left join (select * from {_SIX} where doc_id % 7 <> 0) on doc_id = o_orderkey)"
+_FULL = f"(select o_orderkey, {_GOLD} as gold, coalesce(final_label, 'no_checkworthy_claim') as lab from orders left join (select * from {_SIX} semi join (select distinct l_orderkey as doc_id from lineitem where l_linestatus = 'F') using (doc_id)) on doc_id = o_orderkey)"
 _VIEWS = f"(select 'FULL' as view, gold, case when lab = 'no_checkworthy_claim' then 'ok' else {_BIN.format('lab')} end as pred from {_FULL} union all select 'MATCHED', gold, {_BIN.format('lab')} from {_FULL} where lab <> 'no_checkworthy_claim')"
 
 
 def _views(spark, d) -> DataFrame:
     """Gold labels with predictions: FULL fills missing predictions as ok, MATCHED leaves them out."""
     gold = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_custkey") % 3 == 0, "misinfo").otherwise("ok").alias("gold"))
-    pred = rollup_six(claims(spark, d)).where("doc_id % 7 <> 0").select("doc_id", "final_label")
+    done = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("doc_id")).distinct()  # predictions exist for these
+    pred = rollup_six(claims(spark, d)).join(done, "doc_id", "left_semi").select("doc_id", "final_label")
     rows = gold.join(pred, "doc_id", "left").withColumn("lab", F.coalesce("final_label", F.lit("no_checkworthy_claim")))
     none = F.col("lab") == "no_checkworthy_claim"
     full = rows.select(F.lit("FULL").alias("view"), "gold", F.when(none, "ok").otherwise(S.binary_label(F.col("lab"))).alias("pred"))
@@ -302,10 +311,10 @@ def last_verdict_wins(spark, d):
     return K.last_wins(claims(spark, d), ["doc_id"], "verdict", "claim_idx")
 
 
-@query("verdict_keys_union", f"select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is not null as in_orders, b.doc_id is not null as in_claims from (select o_orderkey as doc_id from orders where o_orderkey % 4 <> 0) a full join (select distinct doc_id from {_CLAIMS} where doc_id % 3 <> 0) b using (doc_id)")
+@query("verdict_keys_union", f"select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is not null as in_orders, b.doc_id is not null as in_claims from (select o_orderkey as doc_id from orders where o_orderpriority <> '5-LOW') a full join (select distinct doc_id from {_CLAIMS} where verdict = 'false') b using (doc_id)")
 def verdict_keys_union(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")).where("doc_id % 4 <> 0").withColumn("in_orders", F.lit(True))
-    b = claims(spark, d).select("doc_id").distinct().where("doc_id % 3 <> 0").withColumn("in_claims", F.lit(True))
+    a = table(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("doc_id")).withColumn("in_orders", F.lit(True))
+    b = claims(spark, d).where("verdict = 'false'").select("doc_id").distinct().withColumn("in_claims", F.lit(True))
     return a.join(b, "doc_id", "full").select("doc_id", F.coalesce("in_orders", F.lit(False)).alias("in_orders"), F.coalesce("in_claims", F.lit(False)).alias("in_claims"))
 
 

@@ -82,8 +82,8 @@ def flag_shares(spark, d):
 @query("flag_share_quantiles", f"select round(quantile_cont(share, 0.1), 9) as p10, round(quantile_cont(share, 0.5), 9) as p50, round(quantile_cont(share, 0.9), 9) as p90 from (select avg(flagged::int) as share from {_SENT} group by doc_id)")
 def flag_share_quantiles(spark, d):
     share = _sentences(spark, d).groupBy("doc_id").agg(F.avg(F.col("flagged").cast("int")).alias("share"))
-    q = F.percentile("share", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return share.agg(q.alias("q")).select(*(F.round(F.get("q", F.lit(k)), 9).alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
+    at = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    return stats.quantiles(share, "share", at).select(*(F.round(n, 9).alias(n) for n in at))
 
 
 @query("outrage_rollup", f"select o_orderkey as doc_id, case when count(doc_id) > 0 then round(avg((anger >= 0.5)::int), 9) end as share, round(avg(anger), 9) as mean_score, coalesce(max((anger >= 0.5)::int), 0) as any_outrage from orders left join {_SENT} on doc_id = o_orderkey group by 1")
@@ -185,8 +185,7 @@ def describe_values(spark, d):
 @query("price_quantiles", "select round(quantile_cont(o_totalprice, 0.01), 4) as p1, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.75), 4) as q3, round(quantile_cont(o_totalprice, 0.95), 4) as p95, round(quantile_cont(o_totalprice, 0.99), 4) as p99 from orders")
 def price_quantiles(spark, d):
     at = {"p1": 0.01, "q1": 0.25, "q3": 0.75, "p95": 0.95, "p99": 0.99}
-    q = table(spark, d, "orders").agg(F.percentile("o_totalprice", F.array(*map(F.lit, at.values()))).alias("q"))
-    return q.select(*(F.round(F.get("q", F.lit(k)), 4).alias(n) for k, n in enumerate(at)))
+    return stats.quantiles(table(spark, d, "orders"), "o_totalprice", at).select(*(F.round(n, 4).alias(n) for n in at))
 
 
 @query("correlations", "select a, b, round(r, 9) as r from (select 'l_quantity' as a, 'l_extendedprice' as b, corr(l_quantity, l_extendedprice) as r from lineitem union all select 'l_quantity', 'l_discount', corr(l_quantity, l_discount) from lineitem union all select 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) from lineitem)")
@@ -239,7 +238,8 @@ union all select 'top20', top20, count(*), cast(sum(n_posts) as bigint), round(s
 def popularity_split(spark, d):
     """Authors above the median and in the top fifth; thresholds are over authors, not posts."""
     v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("author")).agg(F.greatest(F.sum("o_totalprice"), F.lit(0.0)).alias("v"), F.count("*").alias("n_posts"))
-    m, p80 = v.agg(F.median("v")).scalar(), v.agg(F.percentile("v", 0.8)).scalar()
+    q = stats.quantiles(v, "v", {"m": 0.5, "p80": 0.8})
+    m, p80 = q.select("m").scalar(), q.select("p80").scalar()
     marked = v.select("n_posts", (F.col("v") > m).alias("high"), (F.col("v") >= p80).alias("top"))
     s = marked.select("n_posts", F.explode(F.array(F.struct(F.lit("median").alias("split"), F.col("high").alias("upper")), F.struct(F.lit("top20").alias("split"), F.col("top").alias("upper")))).alias("x"))
     return s.groupBy("x.split", "x.upper").agg(F.count("*").alias("n_authors"), F.sum("n_posts").alias("n_posts"), F.round(F.sum("n_posts") / F.count("*"), 6).alias("posts_per_author"))

@@ -6,10 +6,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import cleaning as C
 from tallyloom.functions import replies as R
 from tallyloom.functions import scalars as S
 from tallyloom.functions import spans as P
 from tallyloom.operators import keyed as K
+from tallyloom.operators import stats
+from tallyloom.operators.ranges import running_sums
+from tallyloom.plans import measures as MS
+from tallyloom.plans import posts as PO
 from tallyloom.plans.registry import query
 from tallyloom.session import table
 from tallyloom.streaming import weekly
@@ -119,10 +124,11 @@ def regression_coverage(spark, d):
 @query("cleaning_report", "with s as (select distinct author, permlink, length(body_clean) as b, length(body_for_analysis) as a from hive_cleaned) select count(*) as n, round(avg(b), 6) as mean_before, round(avg(a), 6) as mean_after, round(median((b - a) / nullif(b::double, 0)), 9) as median_reduction, round(quantile_cont((b - a) / nullif(b::double, 0), 0.95), 9) as p95_reduction, count(*) filter (where a < 50) as n_short from s")
 def cleaning_report(spark, d):
     s = table(spark, d, "hive_cleaned").select("author", "permlink", F.length("body_clean").alias("b"), F.length("body_for_analysis").alias("a")).distinct()
-    r = S.reduction_pct(F.col("b"), F.col("a"))
+    s = s.withColumn("r", S.reduction_pct(F.col("b"), F.col("a")))
+    q = stats.quantiles(s, "r", {"p50": 0.5, "p95": 0.95})
     return s.agg(
-        F.count("*").alias("n"), F.round(F.avg("b"), 6).alias("mean_before"), F.round(F.avg("a"), 6).alias("mean_after"), F.round(F.median(r), 9).alias("median_reduction"),
-        F.round(F.percentile(r, 0.95), 9).alias("p95_reduction"), F.count_if(F.col("a") < 50).alias("n_short"),
+        F.count("*").alias("n"), F.round(F.avg("b"), 6).alias("mean_before"), F.round(F.avg("a"), 6).alias("mean_after"), F.round(q.select("p50").scalar(), 9).alias("median_reduction"),
+        F.round(q.select("p95").scalar(), 9).alias("p95_reduction"), F.count_if(F.col("a") < 50).alias("n_short"),
     )
 
 
@@ -137,9 +143,13 @@ def corpus_overview(spark, d):
 m as (select *, case when s <= max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from i),
 g as (select *, sum(new) over (partition by k order by s, e rows unbounded preceding) as grp from m) select k, min(s) as s, max(e) as e from g group by k, grp""")
 def merged_intervals(spark, d):
-    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct((F.col("l_linenumber") * 20).alias("start"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("int")).alias("end")).alias("x"))
-    merged = i.groupBy("k").agg(P.merge_spans(F.collect_list("x")).alias("xs"))
-    return merged.select("k", F.explode("xs").alias("x")).select("k", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    """Overlapping intervals of a key joined: one begins where none before it reaches; no list of a key's intervals is built."""
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 20).alias("s"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("int")).alias("e"))
+    w = Window.partitionBy("k").orderBy("s", "e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = i.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1))
+    rows = rows.withColumn("grp", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("k", "grp").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("grp")
 
 
 @query("claim_windows", """with d as (select doc_id, text, substr(text, 101, 40) as claim from documents where length(text) >= 300)
@@ -221,6 +231,116 @@ def first_seen_months(spark, d):
 
 @query("post_positions", "select author, permlink, row_number() over (partition by author order by created, permlink) as n, count(*) over (partition by author) as of_posts from (select author, permlink, min(created) as created from hive_classified group by all)")
 def post_positions(spark, d):
-    p = table(spark, d, "hive_classified").groupBy("author", "permlink").agg(F.min("created").alias("created"))
-    w = Window.partitionBy("author")
-    return p.select("author", "permlink", F.row_number().over(w.orderBy("created", "permlink")).alias("n"), F.count("*").over(w).alias("of_posts"))
+    """Each post's place among its author's, by range partitions with offsets, so that no author sits in one task."""
+    p = table(spark, d, "hive_classified").groupBy("author", "permlink").agg(F.min("created").alias("created")).withColumn("one", F.lit(1))
+    placed = running_sums(p, ["author"], ["created", "permlink"], {"one": "n"})
+    return placed.join(p.groupBy("author").agg(F.count("*").alias("of_posts")), "author").select("author", "permlink", "n", "of_posts")
+
+
+_DATASET = """(with p as (select lower(trim(doc_id)) as k, min(doc_id) as doc_id, min(author) as author, min(created) as created, min(nullif(trim(category), '')) as category, bool_or(is_political) as is_political,
+    max(net_votes) as net_votes, max(children) as children, max(length(body_for_analysis)) as n_chars, min(title) as title from hive_sample_master where doc_id is not null group by 1),
+g as (select lower(trim(doc_id)) as k, max(cb_max_score) as gate_score, max(cb_n_checkworthy) as n_claims, max(n_sentences) as n_sentences from gate_scores where doc_id is not null group by 1),
+a as (select author, count(distinct permlink) as author_posts, min(created) as first_post, sum(greatest(coalesce(net_votes, 0), 0)) as author_votes from (select distinct author, permlink, created, net_votes from hive_classified) group by 1)
+select doc_id, author, strftime(p.created, '%Y-%m') as month, hour(p.created) as post_hour, isodow(p.created) - 1 as post_dow, (isodow(p.created) >= 6)::int as is_weekend, category, is_political::int::double as political01,
+  round(ln(1 + greatest(coalesce(net_votes, 0), 0)), 9) as log_votes, round(ln(1 + greatest(coalesce(children, 0), 0)), 9) as log_children, (coalesce(children, 0) > 0)::int as any_children, round(ln(1 + n_chars), 9) as log_chars,
+  (title is not null)::int as has_title, gate_score, (coalesce(gate_score, 0) > 0.85)::int as above_gate, coalesce(n_claims, 0) as n_claims, coalesce((n_claims = 1)::int, 0) as claims_1, coalesce((n_claims = 2)::int, 0) as claims_2, coalesce((n_claims = 3)::int, 0) as claims_3,
+  round(case when n_sentences > 0 then n_claims / n_sentences::double else 0 end, 9) as claim_rate, coalesce(author_posts, 0) as author_posts, round(ln(1 + author_votes), 9) as log_author_votes,
+  greatest(cast(floor((epoch(p.created) - epoch(first_post)) / 86400) as bigint), 0) as author_age_days from p left join g using (k) left join a using (author))"""
+
+# Fixed schema of the table that regressions read.
+DATASET_SCHEMA = [
+    ("doc_id", "string"), ("author", "string"), ("month", "string"), ("post_hour", "int"), ("post_dow", "int"), ("is_weekend", "int"), ("category", "string"), ("political01", "double"),
+    ("log_votes", "double"), ("log_children", "double"), ("any_children", "int"), ("log_chars", "double"), ("has_title", "int"), ("gate_score", "double"), ("above_gate", "int"), ("n_claims", "bigint"),
+    ("claims_1", "int"), ("claims_2", "int"), ("claims_3", "int"), ("claim_rate", "double"), ("author_posts", "bigint"), ("log_author_votes", "double"), ("author_age_days", "bigint"),
+]
+
+
+def build_dataset(posts: DataFrame, scores: DataFrame, history: DataFrame) -> DataFrame:
+    """One row of fixed columns and types for each post, from posts, one row of scores for each doc_id and one of history for each author.
+
+    Keys are joined trimmed and case-folded; scores or histories of several rows for a key raise in the job itself.
+    """
+    rows = K.join_normalised(posts, scores, "doc_id")
+    rows = K.join_unique(rows, history, ["author"])
+    age = F.floor((F.unix_micros(F.col("created").cast("timestamp")) - F.unix_micros(F.col("first_post").cast("timestamp"))) / 1e6 / 86400)
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    wide = rows.select(
+        "doc_id", "author", S.month(F.col("created")).alias("month"), F.hour("created").alias("post_hour"), F.weekday("created").alias("post_dow"), (F.weekday("created") >= 5).cast("int").alias("is_weekend"),
+        "category", S.to01(F.col("is_political")).alias("political01"), F.round(S.log1p_count(F.coalesce("net_votes", F.lit(0))), 9).alias("log_votes"),
+        F.round(S.log1p_count(F.coalesce("children", F.lit(0))), 9).alias("log_children"), flag(F.col("children") > 0).alias("any_children"), F.round(F.log1p(F.col("n_chars").cast("double")), 9).alias("log_chars"),
+        F.col("title").isNotNull().cast("int").alias("has_title"), "gate_score", flag(F.col("gate_score") > 0.85).alias("above_gate"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"),
+        *K.one_hot(F.col("n_claims"), [1, 2, 3], "claims"), F.round(S.safe_ratio(F.col("n_claims"), F.col("n_sentences")), 9).alias("claim_rate"),
+        F.coalesce("author_posts", F.lit(0)).alias("author_posts"), F.round(F.log1p(F.col("author_votes").cast("double")), 9).alias("log_author_votes"), F.greatest(age, F.lit(0)).alias("author_age_days"),
+    )
+    return K.conform(wide, DATASET_SCHEMA)
+
+
+def _dataset(spark, d) -> DataFrame:
+    key = F.lower(F.trim("doc_id"))
+    p = table(spark, d, "hive_sample_master").where("doc_id is not null").groupBy(key.alias("k")).agg(
+        F.min("doc_id").alias("doc_id"), F.min("author").alias("author"), F.min("created").alias("created"), F.min(F.nullif(F.trim("category"), F.lit(""))).alias("category"), F.bool_or("is_political").alias("is_political"),
+        F.max("net_votes").alias("net_votes"), F.max("children").alias("children"), F.max(F.length("body_for_analysis")).alias("n_chars"), F.min("title").alias("title"),
+    ).drop("k")
+    g = table(spark, d, "gate_scores").where("doc_id is not null").groupBy(key.alias("doc_id")).agg(
+        F.max("cb_max_score").alias("gate_score"), F.max("cb_n_checkworthy").alias("n_claims"), F.max("n_sentences").alias("n_sentences")
+    )
+    h = table(spark, d, "hive_classified").select("author", "permlink", "created", "net_votes").distinct().groupBy("author").agg(
+        F.countDistinct("permlink").alias("author_posts"), F.min("created").alias("first_post"), F.sum(F.greatest(F.coalesce("net_votes", F.lit(0)), F.lit(0))).alias("author_votes")
+    )
+    return build_dataset(p, g, h)
+
+
+@query("regression_dataset", f"select * from {_DATASET}")
+def regression_dataset(spark, d):
+    """The table that regressions read: contracts on both joins run within the plan."""
+    return _dataset(spark, d)
+
+
+_DATASET_AUDIT = {
+    "posts": "1", "authors": "author", "months": "month", "political": "case when political01 = 1 then 1 end", "political_missing": "case when political01 is null then 1 end", "with_score": "gate_score",
+    "above_gate": "case when above_gate = 1 then 1 end", "without_claims": "case when n_claims = 0 then 1 end", "one_claim": "case when claims_1 = 1 then 1 end", "two_claims": "case when claims_2 = 1 then 1 end",
+    "three_claims": "case when claims_3 = 1 then 1 end", "commented": "case when any_children = 1 then 1 end", "weekend": "case when is_weekend = 1 then 1 end", "untitled": "case when has_title = 0 then 1 end",
+    "without_category": "case when category is null then 1 end", "authors_without_history": "case when author_posts = 0 then 1 end", "complete": "case when gate_score is not null and category is not null and political01 is not null then 1 end",
+}
+_DISTINCT = ("authors", "months")
+
+
+@query("dataset_audit", " union all ".join(f"select '{m}' as metric, count({'distinct ' if m in _DISTINCT else ''}{c}) as value from {_DATASET}" for m, c in _DATASET_AUDIT.items()))
+def dataset_audit(spark, d):
+    """Counts of the regression table in long form, from one pass."""
+    one = _dataset(spark, d).agg(*((F.countDistinct if m in _DISTINCT else F.count)(F.expr(c)).alias(m) for m, c in _DATASET_AUDIT.items()))
+    return one.unpivot([], list(_DATASET_AUDIT), "metric", "value")
+
+
+_INDEXED = rf"""ver as (select doc_id, 'a' as v, coalesce(text, '') as t from documents union all select doc_id, 'b', {{clean}} from documents),
+lines as (select doc_id, v, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from ver),
+parts as (select doc_id, v, k, unnest(string_split(regexp_replace(trim(line), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(trim(line), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as j from lines),
+sents as (select doc_id, v, trim(s) as s, row_number() over (partition by doc_id, v order by k, j) as idx from parts where trim(s) <> '')"""
+_PLAIN = PO.sql_chain("coalesce(text, '')", [(r"<[^>]+>", ""), (r"\[[^\n]*?\]\([^\n]*?\)", "")])
+
+
+@query(
+    "text_dynamics",
+    f"""with {_INDEXED.format(clean=_PLAIN)}, n as (select doc_id, count(*) filter (where v = 'a') as n, count(*) filter (where v = 'b') as m from sents group by 1),
+fl as (select a.doc_id, a.idx, (length(a.s) % 97) / 97.0::double as x, coalesce(case when n.n = n.m then {PO._BOILER.replace('(s,', '(b.s,').replace('(s ', '(b.s ').replace('length(s)', 'length(b.s)')} end, false) as flag
+  from (select * from sents where v = 'a') a join n using (doc_id) left join (select * from sents where v = 'b') b on b.doc_id = a.doc_id and b.idx = a.idx),
+u as (select doc_id, count(*) as n, stddev_samp(dx) as vol from (select *, x - lag(x) over (partition by doc_id order by idx) as dx from fl) group by 1),
+f as (select doc_id, count(*) as n, stddev_samp(dx) as vol from (select *, x - lag(x) over (partition by doc_id order by idx) as dx from fl where not flag) group by 1)
+select u.doc_id, u.n as n_sentences_u, coalesce(f.n, 0) as n_sentences_f, round(case when u.n >= 3 then u.vol end, 9) as x_volatility_u, round(case when f.n >= 3 then f.vol end, 9) as x_volatility_f, n.n = n.m as aligned
+from u join n using (doc_id) left join f using (doc_id)""",
+)
+def text_dynamics(spark, d):
+    """Volatility of a sentence score (a stand-in: the sentence's length) with and without boilerplate; flags are computed anew from a cleaned text
+    and count only where it has as many sentences."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    numbered = lambda text: docs.select("doc_id", F.posexplode(C.sentences(text)).alias("i", "s"))
+    scored = numbered(F.col("t")).select("doc_id", F.col("i").alias("idx"), (F.length("s") % 97 / 97.0).alias("x"))
+    again = numbered(F.regexp_replace(F.regexp_replace("t", r"<[^>]+>", ""), r"(?d)\[.*?\]\(.*?\)", ""))
+    flags = again.select("doc_id", F.col("i").alias("idx"), C.is_boilerplate(F.col("s")).alias("flag"))
+    rows = K.aligned_flags(scored, flags, "doc_id", "idx", "flag")
+    measures = lambda df: MS.dynamics(df, ["x"], ["doc_id"], "idx").select("doc_id", "n_sentences", "x_volatility")
+    n, m = scored.groupBy("doc_id").agg(F.count("*").alias("n")), flags.groupBy("doc_id").agg(F.count("*").alias("m"))
+    both = K.join_suffixed(measures(rows), measures(rows.where("not flag")), ["doc_id"], "left", ("_u", "_f"))
+    return both.join(n.join(m, "doc_id", "left").select("doc_id", F.coalesce(F.col("n") == F.col("m"), F.lit(False)).alias("aligned")), "doc_id").select(
+        "doc_id", "n_sentences_u", F.coalesce("n_sentences_f", F.lit(0)).alias("n_sentences_f"), "x_volatility_u", "x_volatility_f", "aligned"
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import cleaning as C
 from tallyloom.functions import scalars as S
 from tallyloom.operators import keyed as K
+from tallyloom.operators import stats
 from tallyloom.plans.registry import query
 from tallyloom.session import table
 
@@ -341,7 +342,7 @@ def over_cleaned(spark, d):
     s = table(spark, d, "hive_cleaned").select(
         "author", "permlink", "net_votes", F.length("body_clean").alias("before"), F.length("body_for_analysis").alias("after")
     ).distinct().withColumn("reduction", S.reduction_pct(F.col("before"), F.col("after")))
-    p95 = s.agg(F.percentile("reduction", 0.95)).scalar()
+    p95 = stats.quantiles(s, "reduction", {"p95": 0.95}).scalar()
     hit = ((F.col("before") >= 500) & (F.col("after") < 50)) | ((F.col("reduction") >= p95) & (F.col("net_votes") >= 10))
     return s.where(hit).select("author", "permlink", "net_votes", "before", "after", F.round("reduction", 9).alias("reduction"))
 
@@ -419,16 +420,59 @@ select d.doc_id, count(t.w) as n_tokens, count(valence) as n_matched, round(avg(
 from documents d left join tok t using (doc_id) left join lex using (w) group by 1""",
 )
 def lexicon_scores(spark, d):
-    """Means over matched tokens of a synthetic lexicon (a rule on words of four letters or more); none matched gives null."""
+    """Means over the tokens that stand in a lexicon; here the lexicon is the table of all words of four letters or more with scores by a rule."""
     docs = table(spark, d, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(C.dictionary_text(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    rule = lambda k: F.when(F.length("w") >= 4, ((F.length("w") * k + F.ascii("w")) % 100) / 100.0)
-    v, a = rule(7), rule(13)
-    return docs.groupBy("doc_id").agg(
-        F.count("w").alias("n_tokens"), F.count(v).alias("n_matched"), F.round(F.avg(v), 9).alias("valence"), F.round(F.avg(a), 9).alias("arousal"),
-        F.round(F.try_divide(F.count(v).cast("double"), F.count("w")), 9).alias("coverage"),
+    rule = lambda k: (F.length("w") * k + F.ascii("w")) % 100 / 100.0
+    lexicon = docs.where(F.length("w") >= 4).select("w").distinct().select("w", rule(7).alias("valence"), rule(13).alias("arousal"))
+    return lexicon_means(docs, lexicon, ["valence", "arousal"])
+
+
+#: Words of a lexicon up to which it is broadcast.
+BROADCAST_WORDS = 200_000
+
+
+def lexicon_means(tokens: DataFrame, lexicon: DataFrame, values: list[str]) -> DataFrame:
+    """(doc_id, n_tokens, n_matched, a mean for each value, coverage) from tokens (doc_id, w) and a lexicon (w, values) with each word once.
+
+    Tokens are counted for each document before they meet the lexicon, which is broadcast up to a checked size. Documents without a match have null means.
+    """
+    counts = tokens.groupBy("doc_id", "w").agg(F.count("w").alias("n"))
+    if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        lexicon = F.broadcast(lexicon)
+    rows = counts.join(lexicon, "w", "left")
+    matched = F.sum(F.when(F.col(values[0]).isNotNull(), F.col("n")).otherwise(0))
+    total = F.sum("n")
+    return rows.groupBy("doc_id").agg(
+        total.alias("n_tokens"), matched.alias("n_matched"), *(F.round(F.try_divide(F.sum(F.col("n") * F.col(v)), matched.cast("double")), 9).alias(v) for v in values),
+        F.round(F.try_divide(matched.cast("double"), total), 9).alias("coverage"),
     )
 
 
+def window_means(docs: DataFrame, score, size: int = 512, most: int = 64) -> DataFrame:
+    """(doc_id, n_windows, score): the mean of score over a text's windows of size tokens, the first most of them, rounded to 4 places.
+
+    score maps an array of tokens to a number; a text without tokens has no window and a null score.
+    """
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    rows = docs.select("doc_id", tokens.alias("__t")).withColumn("n_windows", F.least(F.lit(most), F.ceil(F.size("__t") / size)).cast("int"))
+    windows = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda k: score(F.slice("__t", (k - 1) * size + 1, F.lit(size))))
+    mean = F.aggregate(windows, F.lit(0.0), lambda acc, x: acc + x) / F.col("n_windows")
+    return rows.select("doc_id", "n_windows", F.when(F.col("n_windows") > 0, F.round(F.round(mean, 9), 4)).alias("score"))
+
+
+@query(
+    "token_window_scores",
+    r"""with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') as ts from documents),
+w as (select doc_id, (i - 1) // 32 as k, length(tok) > 6 as long from (select doc_id, unnest(ts) as tok, generate_subscripts(ts, 1) as i from t)),
+m as (select doc_id, k, avg(long::int) as s from w where k < 64 group by all)
+select t.doc_id, cast(count(k) as integer) as n_windows, round(round(avg(s), 9), 4) as score from t left join m using (doc_id) group by 1""",
+)
+def token_window_scores(spark, d):
+    """Means over windows of 32 tokens of a stand-in score, the share of long words."""
+    share = lambda ts: F.size(F.filter(ts, lambda w: F.length(w) > 6)) / F.size(ts)
+    return window_means(table(spark, d, "documents"), share, 32)
+
+
 @query("text_lengths_check", "select doc_id, length(text) as n_found, n_chars, coalesce(length(text) = n_chars, false) as right_length from documents")
 def text_lengths_check(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").alias("n_found"), "n_chars", F.coalesce(F.length("text") == F.col("n_chars"), F.lit(False)).alias("right_length"))

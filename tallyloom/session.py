@@ -15,6 +15,7 @@ def get_spark(master: str = "local[*]", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -37,6 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and go on from the written copy."""
+    """Write df to the reliable checkpoint folder and go on from the written copy.
+
+    The files go when the copy is no longer used if the session sets spark.cleaner.referenceTracking.cleanCheckpoints, as get_spark() does.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

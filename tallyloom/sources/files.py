@@ -88,18 +88,105 @@ def read_lexicon(spark: SparkSession, path: str, prefixes: dict[str, str]) -> Da
     return rows.groupBy(word).agg(*(F.min_by(s, "__n").alias(s) for s in scores))
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop configuration, local or shared alike."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def write_verified(df: DataFrame, path: str, required: list[str] = ()) -> int:
-    """Write df as Parquet and read it again: the rows and required columns must be there. Returns the rows."""
+    """Write df as Parquet beside path, read it again (the rows and required columns must be there), then put it in place of path.
+
+    Until then path keeps what it held; a failed or wrong write leaves it alone and takes its own files away. Returns the rows.
+    """
+    import uuid
+
     from pyspark.sql import Observation
 
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    missing = [c for c in required if c not in back.columns]
-    n = back.count()
-    if missing or n != seen.get["n"]:
-        raise OSError(f"{path}: {n} rows of {seen.get['n']}, missing columns {missing}")
-    return n
+    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    fs, target = _folder(spark, path)
+    _, fresh = _folder(spark, new)
+    _, aside = _folder(spark, old)
+    try:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(new)
+        back = spark.read.parquet(new)
+        missing = [c for c in required if c not in back.columns]
+        n = back.count()
+        if missing or n != seen.get["n"]:
+            raise OSError(f"{path}: {n} rows of {seen.get['n']}, missing columns {missing}")
+        had = fs.exists(target)
+        if had and not fs.rename(target, aside):
+            raise OSError(f"{path}: cannot be moved aside")
+        if not fs.rename(fresh, target):
+            if had:
+                fs.rename(aside, target)
+            raise OSError(f"{new}: cannot be renamed to {path}")
+        if had:
+            fs.delete(aside, True)
+        return n
+    finally:
+        if fs.exists(fresh):
+            fs.delete(fresh, True)
+
+
+def read_sorted_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Parquet files that match pattern, in order of their paths (file_no from 1), with columns of one file alone null in others."""
+    df = spark.read.option("mergeSchema", True).parquet(*sorted(_matches(spark, pattern)))
+    files = sorted({r[0] for r in df.select(F.input_file_name()).distinct().collect()})  # one row for each file
+    number = F.array_position(F.array(*map(F.lit, files)), F.input_file_name()).cast("int") if files else F.lit(None).cast("int")
+    return df.withColumn("file_no", number)
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    fs, p = _folder(spark, pattern)
+    found = [x.getPath().toString() for x in fs.globStatus(p) or []]
+    if not found:
+        raise FileNotFoundError(pattern)
+    return found
+
+
+def write_shards(df: DataFrame, key: str, path: str, n: int, work, stop_after: int | None = None) -> list[int]:
+    """Rows of df worked on in n shards by a hash of key, each appended to path under shard=k; shards that are there are not done again.
+
+    work maps the rows of a shard to its result. A shard counts as done by its _SUCCESS file, which Spark writes last. Returns the shards done now.
+    """
+    spark, now = df.sparkSession, []
+    for k in range(n):
+        fs, done = _folder(spark, f"{path}/shard={k}/_SUCCESS")
+        if fs.exists(done):
+            continue
+        if stop_after is not None and len(now) >= stop_after:
+            break
+        part = df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)
+        work(part).write.mode("overwrite").parquet(f"{path}/shard={k}")
+        now.append(k)
+    return now
+
+
+def memo(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """The step called name, read from folder if it was finished there, else made and written first."""
+    path = f"{folder}/{name}.parquet"
+    fs, done = _folder(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_table(df: DataFrame, name: str, partition_by: list[str] = (), mode: str = "overwrite") -> None:
+    """df as a table of the session's catalogue."""
+    df.write.mode(mode).partitionBy(*partition_by).format("parquet").saveAsTable(name)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """df as JSON lines, null fields kept."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def strip_text_columns(df: DataFrame) -> DataFrame:
+    """df with control characters taken out of every text column."""
+    return df.withColumns({f.name: strip_controls(F.col(f.name)) for f in df.schema.fields if f.dataType.typeName() == "string"})
 
 
 def write_sheets(df: DataFrame, path: str, order: list[str], rows: int = 1_000_000, cell: int = 32_000) -> None:

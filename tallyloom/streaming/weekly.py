@@ -15,22 +15,28 @@ def weekly_counts(events: DataFrame, late: str = "1 day", start: str = "4 days")
     return stamped.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("week_start"), "event_type", "n")
 
 
-def run_available(spark: SparkSession, sf_dir: str, checkpoint: str | None = None) -> DataFrame:
-    """Read the events table as a stream, count all that is there, and return the result table."""
+def run_available(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Read the events table as a stream, count all that is there, and return the result: Parquet written by the batch, in folder or a shared one."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"weekly_{abs(hash((sf_dir, checkpoint))) % 10**8}"
-    options = {"checkpointLocation": checkpoint} if checkpoint else {"checkpointLocation": _checkpoint(spark)}
-    q = weekly_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).options(**options).start()
+    folder = folder or _folder(spark)
+    out = f"{folder}/result"
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)  # complete mode: each batch is the whole result
+
+    q = weekly_counts(stream).writeStream.foreachBatch(each).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    """A new folder in the shared one of the session, or a temporary one in local mode."""
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the session's shared checkpoint folder; a temporary one only in local mode."""
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="tallyloom-stream-")
 
 

@@ -164,3 +164,91 @@ def test_fixed_effects_equal_dummies(spark):
 def test_gini(spark):
     r = stats.concentration(spark.createDataFrame([("a", 0.0), ("b", -3.0), ("c", 10.0)], "k string, v double"), "k", "v").first()
     assert r.gini == pytest.approx(2 / 3, abs=1e-8)
+
+
+def test_joins_with_contracts(spark):
+    left = spark.createDataFrame([(" A/x ", 1), ("b/y", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a/X", 7, "r")], "k string, w int, v2 string")
+    assert sorted((r.v, r.w) for r in K.join_normalised(left, right, "k").collect() if r.w) == [(1, 7)]
+    assert K.join_normalised(left, right, "k").count() == 3
+    twice = right.unionByName(spark.createDataFrame([("A/x", 8, "q")], right.schema))
+    with pytest.raises(Exception, match="repeat"):
+        K.join_normalised(left, twice, "k").collect()
+    with pytest.raises(Exception, match="repeat"):  # also where right has no other column
+        K.join_unique(left, spark.createDataFrame([("b/y",), ("b/y",)], "k string"), ["k"], "inner").select("v").collect()
+    assert K.join_unique(left, right.limit(0), ["k"]).count() == 3
+
+
+def test_suffixes_one_hot_order_and_schema(spark):
+    a, b = spark.createDataFrame([(1, 2, 3)], "k int, x int, y int"), spark.createDataFrame([(1, 5, 6)], "k int, x int, z int")
+    assert K.join_suffixed(a, b, ["k"]).first().asDict() == {"k": 1, "x_f": 2, "y": 3, "x_u": 5, "z": 6}
+    rows = spark.createDataFrame([(1,), (3,), (None,)], "n int").select(*K.one_hot(F.col("n"), [1, 2], "n")).collect()
+    assert [tuple(r) for r in rows] == [(1, 0), (0, 0), (0, 0)]
+    df = spark.createDataFrame([("ok",), ("x",), (None,), ("misinfo",)], "p string").select(K.mapped_order(F.col("p"), ["misinfo", "ok"]).alias("o"))
+    assert [r.o for r in df.collect()] == [1, 2, 2, 0]
+    missing: list = []
+    got = K.conform(spark.createDataFrame([("7", "x")], "n string, other string"), [("n", "int"), ("gone", "double")], missing)
+    assert got.dtypes == [("n", "int")] and missing == ["gone"]
+
+
+def test_flags_are_dropped_where_positions_do_not_fit(spark):
+    scored = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)], "d string, i int")
+    flags = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True), ("b", 1, True), ("b", 2, True)], "d string, i int, f boolean")
+    got = {(r.d, r.i): r.f for r in K.aligned_flags(scored, flags, "d", "i", "f").collect()}
+    assert got == {("a", 0): True, ("a", 1): False, ("b", 0): False, ("b", 1): False, ("c", 0): False}
+
+
+def test_sample_each_takes_the_lowest_hashes_of_a_hot_stratum(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("hot" if k % 3 else "b", k) for k in range(600)], "s string, k int")
+    got: dict = {}
+    for r in K.sample_each(df, ["s"], ["k"], 20, 7).collect():
+        got.setdefault(r.s, set()).add(r.k)
+    h = lambda k: hashlib.md5(f"7|{k}".encode()).hexdigest()
+    assert got == {s: set(sorted((k for k in range(600) if (k % 3 != 0) == (s == "hot")), key=h)[:20]) for s in ("hot", "b")}
+    quota = df.withColumn("q", F.when(F.col("s") == "hot", 3).otherwise(0))
+    assert Counter(r.s for r in K.sample_each(quota, ["s"], ["k"], F.col("q"), 7).collect()) == {"hot": 3}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=30))
+def test_exact_quantiles(spark, rows):
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r.g: (r.m, r.q) for r in stats.quantiles(df, "v", {"m": 0.5, "q": 0.9}, ["g"]).collect()}
+    want = {g: [v for h, v in rows if h == g and v is not None] for g in "ab"}
+    assert got == {g: (pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9))) for g, v in want.items() if v}
+
+
+def test_intervals_use_the_same_distribution_as_p(spark):
+    assert stats.t_quantile(0.05, 10) == pytest.approx(2.228139, abs=1e-5)
+    x1, x2, g, y, df = _toy(spark, 12)
+    for e in stats.ols(df, "y", ["x1"])["terms"].values():
+        assert (e["low"] > 0 or e["high"] < 0) == (e["p"] < 0.05)
+        assert (e["high"] - e["low"]) / 2 == pytest.approx(stats.t_quantile(0.05, 10) * e["se"])
+
+
+def test_two_effects_equal_dummies_and_singletons_fall_in_a_chain(spark):
+    x1, x2, g, y, df = _toy(spark)
+    h = np.arange(len(y)) % 7
+    both = spark.createDataFrame([(float(a), int(b), int(c), float(d)) for a, b, c, d in zip(x1, g, h, y)], "x1 double, g int, h int, y double")
+    d = np.column_stack([x1, g[:, None] == np.unique(g)[None, :], h[:, None] == np.unique(h)[None, :]]).astype(float)
+    beta = np.linalg.lstsq(d, y, rcond=None)[0]
+    assert stats.ols(both, "y", ["x1"], ["g", "h"])["terms"]["x1"]["estimate"] == pytest.approx(beta[0], abs=1e-8)
+    # each row taken away leaves another level with one row, more than twenty times
+    chain = spark.createDataFrame([(k, k + 1) for k in range(26)], "g int, h int").select("g", F.floor(F.col("h") / 1).alias("h"))
+    links = [(k // 2, (k + 1) // 2) for k in range(30)]
+    assert stats._drop_singletons(spark.createDataFrame(links, "g int, h int"), ["g", "h"]).count() == 0
+    assert stats._drop_singletons(chain, ["g", "h"]).count() == 0
+
+
+def test_lexicon_and_window_means(spark):
+    from tallyloom.plans import posts
+
+    tokens = spark.createDataFrame([(1, "good"), (1, "good"), (1, "x"), (2, "x"), (3, None)], "doc_id int, w string")
+    lexicon = spark.createDataFrame([("good", 0.9), ("bad", 0.1)], "w string, v double")
+    got = {r.doc_id: (r.n_tokens, r.n_matched, r.v) for r in posts.lexicon_means(tokens, lexicon, ["v"]).collect()}
+    assert got == {1: (3, 2, 0.9), 2: (1, 0, None), 3: (0, 0, None)}
+    docs = spark.createDataFrame([(1, "a " * 10), (2, ""), (3, None), (4, "b " * 50)], "doc_id int, text string")
+    got = {r.doc_id: (r.n_windows, r.score) for r in posts.window_means(docs, lambda ts: F.size(ts).cast("double"), 4, 5).collect()}
+    assert got == {1: (3, 3.3333), 2: (0, None), 3: (0, None), 4: (5, 4.0)}

@@ -107,3 +107,43 @@ def test_prompts(spark):
     assert [r.q for r in df.select(M.search_query(F.col("r"), F.col("t")).alias("q")).collect()] == ["q x", "T", "T"]
     one = spark.createDataFrame([("hello there. how are you? ok",)], "x string")
     assert one.select(M.recapitalize(F.col("x")).alias("y")).first().y == "Hello there. How are you? Ok"
+
+
+def test_a_failed_write_leaves_the_file_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    assert files.write_verified(spark.range(5), path) == 5
+    with pytest.raises(OSError, match="missing"):
+        files.write_verified(spark.range(9), path, ["gone"])
+    with pytest.raises(Exception, match="stop"):
+        files.write_verified(spark.range(9).select(F.raise_error(F.lit("stop")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+    assert files.write_verified(spark.range(7), path, ["id"]) == 7 and spark.read.parquet(path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_files_shards_and_memos(spark, tmp_path):
+    for k in (2, 1):
+        spark.range(k).withColumn(f"c{k}", F.lit(k)).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    got = files.read_sorted_files(spark, str(tmp_path / "part*"))
+    assert {(r.file_no, r.c1, r.c2) for r in got.collect()} == {(1, 1, None), (2, None, 2)}
+    with pytest.raises(FileNotFoundError):
+        files.read_sorted_files(spark, str(tmp_path / "none*"))
+    out, df = str(tmp_path / "shards"), spark.range(40)
+    assert len(files.write_shards(df, "id", out, 4, lambda x: x, stop_after=3)) == 3
+    assert len(files.write_shards(df, "id", out, 4, lambda x: x)) == 1 and files.write_shards(df, "id", out, 4, lambda x: x) == []
+    assert spark.read.parquet(out).select("id").distinct().count() == 40
+    made: list = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [files.memo(spark, str(tmp_path), "step", make).count() for _ in range(2)] == [3, 3] and made == [1]
+
+
+def test_json_table_and_text_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\x01b", "c\x02"), (2, None, "d")], "k int, s string, t string")
+    files.write_json(files.strip_text_columns(df), str(tmp_path / "j"))
+    rows = sorted(x for f in (tmp_path / "j").glob("part*") for x in f.read_text().splitlines())
+    assert [json.loads(x) for x in rows] == [{"k": 1, "s": "ab", "t": "c"}, {"k": 2, "s": None, "t": "d"}]
+    files.write_table(df.select("k"), "tallyloom_test_table")
+    try:
+        assert spark.table("tallyloom_test_table").count() == 2
+    finally:
+        spark.sql("drop table tallyloom_test_table")
