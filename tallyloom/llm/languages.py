@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.quality import _WORD, _solid, _symbol, is_junk
-from tallyloom.llm.samples import SPARE, unit_hash
+from tallyloom.llm.samples import SPARE, trained_once, unit_hash
 from tallyloom.llm.sentences import BEFORE_NUMBER, MAYBE_LAST, NEVER_LAST
 from tallyloom.session import table
 
@@ -379,15 +379,15 @@ def train(posts: DataFrame, codes: dict[str, str], text: str = "body_clean") ->
     return net, [langs[k] for k in used]
 
 
-def find_languages(posts: DataFrame, lang_codes: DataFrame, text: str = "body_clean") -> DataFrame:
+def find_languages(posts: DataFrame, lang_codes: DataFrame, text: str = "body_clean", model: tuple[Network | None, list[str]] | None = None) -> DataFrame:
     """(author, permlink, seg_no, lang, n_chars, confidence, right_label) of each post and each stretch.
 
-    seg_no 0 is the whole post in the language with most characters; 1, 2, ... are the stretches of mixed posts.
+    seg_no 0 is the whole post in the language with most characters; 1, 2, ... are the stretches of mixed posts. Without a model of train() one is trained.
     """
     spark = posts.sparkSession
     schema = "author string, permlink string, seg_no int, lang string, n_chars bigint, confidence double, right_label boolean"
     codes = _codes(lang_codes)
-    net, langs = train(posts, codes, text)
+    net, langs = model or train(posts, codes, text)
     if net is None:
         return spark.createDataFrame([], schema)
     texts = posts.where("author is not null and permlink is not null").select(
@@ -430,14 +430,19 @@ def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "hive_english_filtered"), table(spark, sf_dir, "lang_codes")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, codes = _in(spark, sf_dir)
+    model = trained_once(spark, "languages", sf_dir, lambda: train(posts, _codes(codes)))
+    return find_languages(posts, codes, model=model)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_languages(*_in(spark, sf_dir)).where("seg_no > 0 or not right_label")
-    return found.select("author", "permlink", "seg_no", "lang").distinct()
+    return _found(spark, sf_dir).where("seg_no > 0 or not right_label").select("author", "permlink", "seg_no", "lang").distinct()
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post's and stretch's language with its confidence."""
-    found = find_languages(*_in(spark, sf_dir))
+    found = _found(spark, sf_dir)
     return found.select("author", "permlink", "seg_no", "lang", "n_chars", F.round("confidence", 4).alias("confidence")).distinct()
 
 

@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
-from tallyloom.llm.samples import lowest_by_hash
+from tallyloom.llm.samples import lowest_by_hash, trained_once
 from tallyloom.session import table
 
 #: Bounds of the training sample: posts read by raters, and posts with a usable category.
@@ -310,17 +311,25 @@ def sample(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str)
     return names, texts, own, raters
 
 
-def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str = "body_clean") -> DataFrame:
-    """(author, permlink, subject, n_units, total_units) of every subject of every post."""
-    spark = posts.sparkSession
-    schema = "author string, permlink string, subject string, n_units int, total_units int"
+class Model(NamedTuple):
+    """What scoring needs: the subjects, the models' n-grams, their log ratios (n-grams, subjects) and the acceptance rule."""
+
+    names: list[str]
+    grams: Grams
+    ratios: np.ndarray
+    rule: dict
+
+
+def _texts(posts: DataFrame, text: str) -> DataFrame:
+    return posts.where("author is not null and permlink is not null").select("author", "permlink", F.coalesce(F.col(text), F.lit("")).alias("__text"))
+
+
+def fit(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str = "body_clean") -> Model | None:
+    """Models of the subjects from the bounded sample, with the background of the whole corpus; None without usable labels."""
     names, units, own, raters = sample(posts, labels, subjects, text)
     if not units:
-        return spark.createDataFrame([], schema)
+        return None
     grams, counts, neutral, purity = train(units, own, len(names))
-    texts = posts.where("author is not null and permlink is not null").select(
-        "author", "permlink", F.coalesce(F.col(text), F.lit("")).alias("__text")
-    )
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(grams.size)
@@ -333,7 +342,7 @@ def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text
 
     # counts of the models' n-grams over all posts: a table as bounded as the sample
     background = np.zeros(grams.size)
-    for r in texts.mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in _texts(posts, text).mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         background[r.k] = r.n
     full = background + np.bincount(grams.last, background, grams.size)
     full[0] = background[0]
@@ -342,6 +351,16 @@ def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text
     ratios = np.ascontiguousarray(log_ratios(grams, counts, full * part, full, purity).T)
     rated = [k for k, r in enumerate(raters) if r]
     rule = calibrate(held_out_gains(units, own, rated, len(names)), [raters[k] for k in rated], len(names))
+    return Model(names, grams, ratios, rule)
+
+
+def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text: str = "body_clean", model: Model | None = None) -> DataFrame:
+    """(author, permlink, subject, n_units, total_units) of every subject of every post. Without a model of fit() one is fitted."""
+    schema = "author string, permlink string, subject string, n_units int, total_units int"
+    model = model or fit(posts, labels, subjects, text)
+    if model is None:
+        return posts.sparkSession.createDataFrame([], schema)
+    names, grams, ratios, rule = model
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -352,22 +371,26 @@ def find_subjects(posts: DataFrame, labels: DataFrame, subjects: DataFrame, text
             if rows:
                 yield pd.DataFrame(rows, columns=["author", "permlink", "subject", "n_units", "total_units"])
 
-    return texts.mapInPandas(score, schema).distinct()
+    return _texts(posts, text).mapInPandas(score, schema).distinct()
 
 
 def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(table(spark, sf_dir, t) for t in ("hive_classified", "subject_labels", "subject_areas"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _in(spark, sf_dir)
+    return find_subjects(*tables, model=trained_once(spark, "subjects", sf_dir, lambda: fit(*tables)))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_subjects(*_in(spark, sf_dir)).select("author", "permlink", "subject").distinct()
+    return _found(spark, sf_dir).select("author", "permlink", "subject").distinct()
 
 
 def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of each subject and their share of all posts."""
-    posts, labels, subjects = _in(spark, sf_dir)
-    n = posts.select("author", "permlink").distinct().agg(F.count("*")).scalar()
-    per = find_subjects(posts, labels, subjects).groupBy("subject").agg(F.countDistinct("author", "permlink").alias("n_posts"))
+    n = table(spark, sf_dir, "hive_classified").select("author", "permlink").distinct().agg(F.count("*")).scalar()
+    per = _found(spark, sf_dir).groupBy("subject").agg(F.countDistinct("author", "permlink").alias("n_posts"))
     return per.select("subject", "n_posts", F.round(F.col("n_posts") / n, 6).alias("share"))
 
 

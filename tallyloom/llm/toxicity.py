@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
-from tallyloom.llm.samples import lowest_by_hash
+from tallyloom.llm.samples import lowest_by_hash, trained_once
 from tallyloom.session import table
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -252,9 +252,12 @@ def sample(posts: DataFrame, labels: DataFrame, text: str) -> tuple[list[str], l
     return texts, marks
 
 
-def score_posts(posts: DataFrame, labels: DataFrame, text: str = "body_for_analysis") -> DataFrame:
-    """(author, permlink, kind, score, found): for every distinct text its highest sentence probability of each kind."""
-    models = train(*sample(posts, labels, text))
+def score_posts(posts: DataFrame, labels: DataFrame, text: str = "body_for_analysis", models: dict | None = None) -> DataFrame:
+    """(author, permlink, kind, score, found): for every distinct text its highest sentence probability of each kind.
+
+    Without models of train() they are trained.
+    """
+    models = models or train(*sample(posts, labels, text))
     weights = np.stack([models[k][0] for k in KINDS], axis=1)
     bias = np.array([models[k][1] for k in KINDS], np.float32)
     limit = np.array([models[k][2] for k in KINDS])
@@ -299,17 +302,23 @@ def _in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "hive_cleaned"), table(spark, sf_dir, "moderation_labels")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, labels = _in(spark, sf_dir)
+    models = trained_once(spark, "toxicity", sf_dir, lambda: train(*sample(posts, labels, "body_for_analysis")))
+    return score_posts(posts, labels, models=models)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_posts(*_in(spark, sf_dir)).where("found").select("author", "permlink", "kind").distinct()
+    return _scored(spark, sf_dir).where("found").select("author", "permlink", "kind").distinct()
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_posts(*_in(spark, sf_dir))
+    return _scored(spark, sf_dir)
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each author and kind the posts, those found and their rate."""
-    each = score_posts(*_in(spark, sf_dir)).groupBy("author", "permlink", "kind").agg(F.max("found").alias("found"))
+    each = _scored(spark, sf_dir).groupBy("author", "permlink", "kind").agg(F.max("found").alias("found"))
     found = F.count_if("found")
     return each.groupBy("author", "kind").agg(F.count("*").alias("n_posts"), found.alias("n_found"), F.round(found / F.count("*"), 6).alias("rate"))
 

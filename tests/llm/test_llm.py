@@ -476,6 +476,13 @@ def test_calibration_is_held_out_and_for_each_subject():
     assert subjects.calibrate([], [], 3)["least"].tolist() == [subjects.MIN_GAIN] * 3
 
 
+def test_models_are_trained_once_for_all_queries(spark, small, monkeypatch):
+    made, real = [], subjects.fit
+    monkeypatch.setattr(subjects, "fit", lambda *x: made.append(1) or real(*x))
+    first = subjects.p1_found(spark, small).count()
+    assert subjects.p1_composition(spark, small).count() and subjects.p1_found(spark, small).count() == first and len(made) <= 1
+
+
 # languages
 
 def test_backpropagation_through_time():
