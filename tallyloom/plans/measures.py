@@ -317,3 +317,70 @@ def ols_ladder(spark, d):
     steps = [("(1)", ["n_lines"], []), ("(2)", ["n_lines", "discount"], []), ("(3)", ["n_lines", "discount"], ["o_orderpriority", "month"]), ("(4)", ["n_lines", "discount"], ["o_custkey"])]
     fits = [(name, stats.ols(rows, "y", x, fe)) for name, x, fe in steps]
     return spark.createDataFrame([(n, f["n"], f["r2"], f["within_r2"]) for n, f in fits], "model string, n_obs bigint, r2 double, within_r2 double")
+
+
+_XY = "(select ln(1 + o_totalprice) as y, n as x, (o_orderstatus = 'F')::int::double as won, o_orderpriority as lvl, o_custkey from orders join (select l_orderkey, count(*)::double as n from lineitem group by 1) on l_orderkey = o_orderkey)"
+_CLOSED = """m as (select {by} count(*)::double as n, avg(x) as mx, avg({y}) as my from {rows} group by all),
+b as (select {by} any_value(n) as n, any_value(mx) as mx, any_value(my) as my, sum((x - mx) * ({y} - my)) / sum((x - mx) * (x - mx)) as slope, sum((x - mx) * (x - mx)) as sxx, sum(({y} - my) * ({y} - my)) as syy from {rows} join m {on} group by all),
+e as (select {by} b.n, slope, my - slope * mx as intercept, sxx, syy, sum(power({y} - my - slope * (x - mx), 2)) as rss, sum(power((x - mx) * ({y} - my - slope * (x - mx)), 2)) as mid from {rows} join b {on} group by all)"""
+
+
+def _simple(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("lvl"), F.log1p("o_totalprice").alias("y"), (F.col("o_orderstatus") == "F").cast("double").alias("won"))
+    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("x"))
+    return o.join(n, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
+
+
+@query(
+    "ols_simple_hc1",
+    "with " + _CLOSED.format(by="", y="y", rows=_XY, on="on true") + " select 'x' as term, round(slope, 9) as estimate, round(sqrt(n / (n - 2) * mid) / sxx, 9) as se, round(1 - rss / syy, 9) as r2, cast(n as bigint) as n_obs from e",
+)
+def ols_simple_hc1(spark, d):
+    """One predictor with robust errors, which closed sums in SQL give as well."""
+    fit = stats.ols(_simple(spark, d), "y", ["x"])
+    e = fit["terms"]["x"]
+    return spark.createDataFrame([("x", round(e["estimate"], 9), round(e["se"], 9), round(fit["r2"], 9), fit["n"])], "term string, estimate double, se double, r2 double, n_obs bigint")
+
+
+@query(
+    "ols_within",
+    f"""with r as (select y - avg(y) over (partition by lvl) as y, x - avg(x) over (partition by lvl) as x, y as raw, lvl from {_XY} qualify count(*) over (partition by lvl) > 1),
+b as (select count(*)::double as n, count(distinct lvl) as g, sum(x * y) / sum(x * x) as slope, sum(x * x) as sxx, sum(y * y) as syy, sum(raw * raw) - power(sum(raw), 2) / count(*) as sst from r),
+e as (select any_value(n) as n, any_value(g) as g, any_value(slope) as slope, any_value(sxx) as sxx, any_value(syy) as syy, any_value(sst) as sst, sum(power(y - slope * x, 2)) as rss, sum(power(x * (y - slope * x), 2)) as mid from r, b)
+select 'x' as term, round(slope, 9) as estimate, round(sqrt(n / (n - 1 - g) * mid) / sxx, 9) as se, round(1 - rss / sst, 7) as r2, round(1 - rss / syy, 9) as within_r2 from e""",
+)
+def ols_within(spark, d):
+    """One predictor with the levels of a fixed effect absorbed."""
+    fit = stats.ols(_simple(spark, d), "y", ["x"], ["lvl"])
+    e = fit["terms"]["x"]
+    return spark.createDataFrame([("x", round(e["estimate"], 9), round(e["se"], 9), round(fit["r2"], 7), round(fit["within_r2"], 9))], "term string, estimate double, se double, r2 double, within_r2 double")
+
+
+@query(
+    "lpm_by_popularity",
+    f"""with s as (select o_custkey, count(*) as k from {_XY} group by 1), q as (select median(k) as m from s), rows_ as (select r.*, case when k > m then 'high' else 'low' end as part from {_XY} r join s using (o_custkey), q),
+"""
+    + _CLOSED.format(by="part,", y="won", rows="rows_", on="using (part)")
+    + " select part, round(slope, 9) as estimate, round(sqrt(n / (n - 2) * mid) / sxx, 9) as se, cast(n as bigint) as n_obs from e",
+)
+def lpm_by_popularity(spark, d):
+    """A binary outcome by least squares, refitted for authors above and not above the median number of posts."""
+    rows = _simple(spark, d)
+    size = rows.groupBy("o_custkey").agg(F.count("*").alias("k"))
+    m = stats.quantiles(size, "k", {"m": 0.5}).scalar()
+    marked = rows.join(size, "o_custkey").withColumn("part", F.when(F.col("k") > m, "high").otherwise("low"))
+    out = []
+    for part in ("high", "low"):
+        fit = stats.ols(marked.where(F.col("part") == part), "won", ["x"])
+        if "x" in fit["terms"]:
+            out.append((part, round(fit["terms"]["x"]["estimate"], 9), round(fit["terms"]["x"]["se"], 9), fit["n"]))
+    return spark.createDataFrame(out, "part string, estimate double, se double, n_obs bigint")
+
+
+@query("welch_stars", """with g as (select o_orderpriority as grp, count(*)::double as n, avg(o_totalprice) as m, var_samp(o_totalprice) as v from orders group by 1), r as (select * from g where grp = '5-LOW')
+select g.grp, case when abs((g.m - r.m) / sqrt(g.v / g.n + r.v / r.n)) > 3.3 then '***' when abs((g.m - r.m) / sqrt(g.v / g.n + r.v / r.n)) < 1.9 then '' else null end as sure from g, r where g.grp <> '5-LOW'""")
+def welch_stars(spark, d):
+    """Stars of the differences from the reference where they are beyond doubt, else null."""
+    w = stats.welch(table(spark, d, "orders"), "o_totalprice", "o_orderpriority", "5-LOW")
+    t = F.abs("t")
+    return w.select("grp", F.when((t > 3.3) | (t < 1.9), S.stars(F.col("p"))).alias("sure"))

@@ -448,8 +448,8 @@ def lexicon_means(tokens: DataFrame, lexicon: DataFrame, values: list[str]) -> D
     )
 
 
-def window_means(docs: DataFrame, score, size: int = 512, most: int = 64) -> DataFrame:
-    """(doc_id, n_windows, score): the mean of score over a text's windows of size tokens, the first most of them, rounded to 4 places.
+def window_means(docs: DataFrame, score, size: int = 512, most: int = 64, places: int = 4) -> DataFrame:
+    """(doc_id, n_windows, score): the mean of score over a text's windows of size tokens, the first most of them, rounded.
 
     score maps an array of tokens to a number; a text without tokens has no window and a null score.
     """
@@ -457,7 +457,7 @@ def window_means(docs: DataFrame, score, size: int = 512, most: int = 64) -> Dat
     rows = docs.select("doc_id", tokens.alias("__t")).withColumn("n_windows", F.least(F.lit(most), F.ceil(F.size("__t") / size)).cast("int"))
     windows = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda k: score(F.slice("__t", (k - 1) * size + 1, F.lit(size))))
     mean = F.aggregate(windows, F.lit(0.0), lambda acc, x: acc + x) / F.col("n_windows")
-    return rows.select("doc_id", "n_windows", F.when(F.col("n_windows") > 0, F.round(F.round(mean, 9), 4)).alias("score"))
+    return rows.select("doc_id", "n_windows", F.when(F.col("n_windows") > 0, F.round(mean, places)).alias("score"))
 
 
 @query(
@@ -465,12 +465,12 @@ def window_means(docs: DataFrame, score, size: int = 512, most: int = 64) -> Dat
     r"""with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') as ts from documents),
 w as (select doc_id, (i - 1) // 32 as k, length(tok) > 6 as long from (select doc_id, unnest(ts) as tok, generate_subscripts(ts, 1) as i from t)),
 m as (select doc_id, k, avg(long::int) as s from w where k < 64 group by all)
-select t.doc_id, cast(count(k) as integer) as n_windows, round(round(avg(s), 9), 4) as score from t left join m using (doc_id) group by 1""",
+select t.doc_id, cast(count(k) as integer) as n_windows, round(avg(s), 9) as score from t left join m using (doc_id) group by 1""",
 )
 def token_window_scores(spark, d):
     """Means over windows of 32 tokens of a stand-in score, the share of long words."""
     share = lambda ts: F.size(F.filter(ts, lambda w: F.length(w) > 6)) / F.size(ts)
-    return window_means(table(spark, d, "documents"), share, 32)
+    return window_means(table(spark, d, "documents"), share, 32, places=9)
 
 
 @query("text_lengths_check", "select doc_id, length(text) as n_found, n_chars, coalesce(length(text) = n_chars, false) as right_length from documents")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("posts", "claims", "measures", "pipeline", "extras")
+MODULES = ("posts", "claims", "measures", "pipeline", "extras", "factcheck")
 
 
 def query(name: str, sql: str | None = None):
