@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tallyloom.functions import spans as P
 from tallyloom.operators import keyed as K
 from tallyloom.operators import stats
 from tallyloom.operators.ranges import running_sums
+from tallyloom.plans import claims as CL
 from tallyloom.plans import measures as MS
 from tallyloom.plans import posts as PO
 from tallyloom.plans.registry import query
@@ -194,27 +194,41 @@ def wide_report(spark, d):
     return wide.withColumnRenamed("dropped_low_english", "dropped")
 
 
-_FORMS = ["true", " Mostly True", "half-true", "FALSE", "mostly false", "misleading", "", "unknown"]
+_SPOKEN = "case when l_returnflag = 'N' then upper(replace(verdict, '_', ' ')) when l_returnflag = 'A' then ' ' || replace(verdict, '_', '-') || ' ' else 'half-' || verdict end"
 
 
-@query("verdict_forms", "select v as raw, case when t in ('false', 'mostly_false', 'mixed', 'mostly_true', 'true') then t when t in ('partly_true', 'half_true', 'partially_true') then 'mixed' else 'unverified' end as six, case when lower(trim(v)) in ('true', 'false') then lower(trim(v)) else 'unverified' end as three from (select v, regexp_replace(lower(trim(v)), '[\\s-]+', '_', 'g') as t from (select unnest([" + ", ".join(f"'{v}'" for v in _FORMS) + "]) as v))")
+@query("verdict_forms", f"""select raw, case when t in ('false', 'mostly_false', 'mixed', 'mostly_true', 'true') then t when t in ('partly_true', 'half_true', 'partially_true') then 'mixed' else 'unverified' end as six,
+  case when lower(trim(raw)) in ('true', 'false') then lower(trim(raw)) else 'unverified' end as three, case when lower(trim(raw)) in ('asserted', 'quoted', 'unclear') then lower(trim(raw)) else 'unclear' end as stance, count(*) as n
+from (select raw, regexp_replace(lower(trim(raw)), '[\\s-]+', '_', 'g') as t from (select {_SPOKEN} as raw from (select l_returnflag, {CL._CASE_V} as verdict from lineitem))) group by all""")
 def verdict_forms(spark, d):
-    df = spark.createDataFrame(pd.DataFrame({"raw": _FORMS}))
-    return df.select("raw", R.verdict6(F.col("raw")).alias("six"), R.verdict3(F.col("raw")).alias("three"))
+    """Verdicts as models write them, in their classes."""
+    raw = table(spark, d, "lineitem").select("l_returnflag", CL._pick(F.col("l_partkey"), CL.VERDICT_OF).alias("verdict")).select(F.expr(_SPOKEN).alias("raw"))
+    return raw.groupBy("raw").agg(F.count("*").alias("n")).select(
+        "raw", R.verdict6(F.col("raw")).alias("six"), R.verdict3(F.col("raw")).alias("three"), R.stance(F.col("raw")).alias("stance"), "n"
+    )
 
 
-@query("reply_objects")
+@query("reply_objects", "select doc_id, case when source is null then null else cast(coalesce(n_chars, -1) as varchar) end as a from documents")
 def reply_objects(spark, d):
-    """Objects read from replies with and without code fences, prose around them, and none."""
-    raw = ["```json\n{\"a\": 1}\n```", "Sure: {\"a\": 2} done", "{\"a\": 3}", "no object", None]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "k int, raw string")
-    return df.select("k", F.get_json_object(R.reply_object(F.col("raw")), "$.a").alias("a"))
+    """Objects read from replies with and without code fences, with prose around them, and none."""
+    obj = F.concat(F.lit('{"a": '), F.coalesce("n_chars", F.lit(-1)).cast("string"), F.lit("}"))
+    raw = F.when(F.col("source").isNull(), "no object { here").when(F.col("lang").isNull(), F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
+    raw = raw.when(F.col("title").isNull(), F.concat(F.lit("Sure: "), obj, F.lit(" done."))).otherwise(obj)
+    return table(spark, d, "documents").select("doc_id", F.get_json_object(R.reply_object(raw), "$.a").alias("a"))
 
 
-@query("search_texts")
+@query(
+    "search_texts",
+    """select doc_id, concat_ws(chr(10), case when lang is not null then '[Featured] ' || coalesce(title, '') || ': ' || lang end, case when source is not null then '[Panel] ' || source || ' - ' end,
+  '1. ' || coalesce(title, '') || ' - ' || coalesce(author, '') || chr(10) || '2. ' || coalesce(author, '') || ' (2024) - x') as formatted from documents""",
+)
 def search_texts(spark, d):
-    rows = [('{"answerBox": {"title": "T", "answer": "A"}, "organic": [{"title": "x", "snippet": "s", "date": "2024"}, {"title": "y", "snippet": "t"}]}',), ("{}",), ("broken",)]
-    return spark.createDataFrame(rows, "payload string").select("payload", R.search_text(F.col("payload")).alias("formatted"))
+    """Search payloads, made of documents' fields, as texts."""
+    box = F.when(F.col("lang").isNotNull(), F.struct(F.col("title"), F.col("lang").alias("answer")))
+    panel = F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("title")))
+    hits = F.array(F.struct(F.col("title"), F.col("author").alias("snippet"), F.lit(None).cast("string").alias("date")), F.struct(F.col("author").alias("title"), F.lit("x").alias("snippet"), F.lit("2024").alias("date")))
+    payload = F.to_json(F.struct(box.alias("answerBox"), panel.alias("knowledgeGraph"), hits.alias("organic")))
+    return table(spark, d, "documents").select("doc_id", R.search_text(payload).alias("formatted"))
 
 
 @query("stream_weekly", "select date_trunc('week', ts) as week_start, event_type, count(*) as n from events group by all")

@@ -620,3 +620,48 @@ def sheet_parts(spark, d):
     numbered = running_sums(keyed, ["g"], ["k"], {"one": "rn"})
     parts = numbered.groupBy(F.floor((F.col("rn") - 1) / 500).alias("part")).agg(F.count("*").alias("n_rows"), F.max("n").alias("longest"))
     return parts
+
+
+@query(
+    "top_phrases",
+    rf"""select phrase, count(*) as n from (select unnest(regexp_extract_all({_NORM}, '{phrase_pattern([p for ps in DICTIONARY.values() for p in ps])}')) as phrase from documents) group by 1 order by n desc, phrase limit 5""",
+)
+def top_phrases(spark, d):
+    """The five commonest phrases."""
+    return phrase_tallies(spark, d).orderBy(F.desc("n"), "phrase").limit(5)
+
+
+@query(
+    "postprocessed_posts",
+    "select author, permlink, " + sql_chain("coalesce(body, '')", [(r"<[^>]+>", ""), (r"!\[[^\n]*?\]\([^\n]*?\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"#{1,6}\s", ""), (r"\*{1,2}([^*]+)\*{1,2}", r"\1"), (r"\n{3,}", _NL2), _STRIP]).replace("\\\\1", "\\1")
+    + f""" as body_clean, 'https://peakd.com/@' || author || '/' || permlink as link, {_MONEY.format("total_payout_value")} + {_MONEY.format("pending_payout_value")} as payout_combined
+from (select *, row_number() over (partition by author, permlink order by created, net_votes nulls first, children nulls first, total_payout_value nulls first, pending_payout_value nulls first) as rn from hive_classified) where rn = 1""",
+)
+def postprocessed_posts(spark, d):
+    """From raw rows to one cleaned row for each post: duplicates first, then texts, links and money."""
+    cols = table(spark, d, "hive_classified").select("author", "permlink", "created", "net_votes", "children", "body", "total_payout_value", "pending_payout_value")
+    order = [F.col("created"), *(F.asc_nulls_first(c) for c in ("net_votes", "children", "total_payout_value", "pending_payout_value"))]
+    first = K.keep_first(cols, ["author", "permlink"], order)
+    t, p = S.parse_money(F.col("total_payout_value")), S.parse_money(F.col("pending_payout_value"))
+    return first.select(
+        "author", "permlink", C.clean_body(F.col("body")).alias("body_clean"), S.post_link(F.col("author"), F.col("permlink")).alias("link"), (t + p).alias("payout_combined")
+    )
+
+
+@query(
+    "post_features",
+    rf"""select distinct author, permlink, greatest({_sql_json_len('$.image')}, len(regexp_extract_all(coalesce(body, ''), '{_IMG}')) + len(regexp_extract_all(coalesce(body, ''), '(?i)<img'))) as n_images,
+  greatest(len(regexp_extract_all(coalesce(body, ''), 'https?://[^\s)\]]+')) - len(regexp_extract_all(coalesce(body, ''), '!\[[^\]]*\]\(https?://[^)]*\)')), 0) as n_links,
+  cast({_sql_json_len('$.tags')} as integer) as n_tags, length(coalesce(title, '')) as title_chars, len(regexp_extract_all(coalesce(body_clean, ''), '[\p{{L}}\p{{N}}_]+')) as n_words,
+  round(len(regexp_extract_all(coalesce(body_clean, ''), '[\p{{L}}\p{{N}}_]+')) / nullif(len(regexp_extract_all(coalesce(body, ''), '[\p{{L}}\p{{N}}_]+')), 0)::double, 9) as retention from hive_classified""",
+)
+def post_features(spark, d):
+    """Images by metadata or text, whichever are more, links that are no images, tags, lengths and the share of words that cleaning kept."""
+    b, c = F.coalesce("body", F.lit("")), F.coalesce("body_clean", F.lit(""))
+    n = lambda t, p: F.regexp_count(t, F.lit(p)).cast("bigint")
+    words = r"[\p{L}\p{N}_]+"
+    return table(spark, d, "hive_classified").select(
+        "author", "permlink", F.greatest(S.json_list_length(F.col("json_metadata"), "$.image").cast("bigint"), n(b, _IMG) + n(b, "(?i)<img")).alias("n_images"),
+        F.greatest(n(b, r"https?://[^\s)\]]+") - n(b, r"!\[[^\]]*\]\(https?://[^)]*\)"), F.lit(0)).alias("n_links"), S.json_list_length(F.col("json_metadata"), "$.tags").alias("n_tags"),
+        F.length(F.coalesce("title", F.lit(""))).alias("title_chars"), n(c, words).alias("n_words"), F.round(F.try_divide(n(c, words).cast("double"), n(b, words)), 9).alias("retention"),
+    ).distinct()
