@@ -355,6 +355,27 @@ def test_replicated_phrases_by_brute_force(spark, small):
     assert {r.doc_id for r in spam.score_marked(docs, 2).where("spam_share > 0.5").collect()} == want
 
 
+def test_hosts_that_list_a_phrase_count(spark):
+    """A page that repeats a phrase is found by hosts that only have it as an item or link title; what a sentence mentions counts for none."""
+    lists = ["Paper lamps, cheap sofa covers, garden hoses", "[sofa covers](https://a.example/1)\n[dog beds](https://a.example/2)"]
+    rows = [(0, _keyword_page(0, "sofa covers"), "h0"), (1, _keyword_page(0, "night trains"), "h0")]
+    rows += [(2 + k, text, f"h{k + 1}") for k, text in enumerate(lists)]
+    rows += [(4 + k, f"All of them went by night trains, as number {k} did.", f"h{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in spam.score_marked(docs).where("spam_share > 0.5").collect()} == {0, 3}  # 3 by its links
+
+
+def test_phrases_of_one_word_with_function_words_and_in_a_stretch(spark):
+    fill = ["best", "cheap", "fast", "near", "top", "sale", "buy", "shop"]
+    pages = lambda phrase: [" ".join(f"{fill[(k + j) % 8]} {phrase}" for j in range(8)) for k in range(3)]
+    long = [" ".join(_keyword_page(k + n, f"thing{n}x goods{n}x") for n in range(30)) for k in range(3)]  # each phrase is 3 % of the words
+    rows = [text for phrase in ("sofacovers", "loans for the retired") for text in pages(phrase)] + long
+    docs = spark.createDataFrame([(k, text, f"h{k % 3}") for k, text in enumerate(rows)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in spam.score_marked(docs).where("spam_share > 0.5").collect()} == set(range(9))
+    prose = "The ferry left at noon with the mail. In the town the bakers had sold out. " * 2
+    assert spam.phrases(spam.plain_words(prose)) == set()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=12))
 def test_merged_spans(spans):
