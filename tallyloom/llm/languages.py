@@ -42,8 +42,10 @@ ROWS = 512
 #: Cost in nats of a change of language between sentences, and bytes at which a sentence's evidence is full.
 SWITCH, FULL = 5.0, 48
 
-# Each case begins with the mark, so that nothing is tried at other characters.
-_CUT = re.compile(r"[.!?…][\"”»’)\]]*\s+|[。！？।؟۔][」』”]*|(?<=[^\W\d_A-Z])[.!?](?=[A-ZÀ-Þ])|[\U0001f000-\U0001faff☀-➿️]\s+")
+# All cases begin with a mark of one set, so that nothing is tried at other characters.
+_CUT = re.compile(
+    r"[.!?…。！？।؟۔\U0001f000-\U0001faff☀-➿️](?:(?<=[.!?…])[\"”»’)\]]*\s+|(?<=[。！？।؟۔])[」』”]*|(?<=[^\W\d_A-Z][.!?])(?=[A-ZÀ-Þ])|(?<=[\U0001f000-\U0001faff☀-➿️])\s+)"
+)
 _UNMARKED = re.compile(r"(?<=[฀-໿])\s+(?=[^\W\d_])|(?<=[^\W_])\s+(?=[฀-໿])")
 _THAI = re.compile(r"[฀-໿]")
 #: A sentence goes on after these, with a dot.
@@ -53,7 +55,11 @@ _NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#@$][\w-]+|\b[\w-]+(?:\.[\w
 _ENDS = re.compile(r"[.!?…。！？।؟۔][\"”»’)\]」』]*\s*$")
 #: Lines of at most so many words without an end mark are items; those in a row are judged together.
 ITEM_WORDS = 6
+#: _WORD for ASCII lines in lower case.
+_ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")
 _MARKS = re.compile(r"[^\w\s̀-ͯऀ-ॿ฀-໿'’]|[\d_]")
+#: What _MARKS does to the characters of ASCII texts, which need no search then.
+_ASCII = {k: " " for k in range(128) if _MARKS.match(chr(k))}
 # What a link, tag or address has in it.
 _SIGNS = ("://", "www.", "#", "@", "$", ".example", ".invalid", ".test", ".com", ".org", ".net", ".io")
 _TAG = re.compile(r"<[^>\n]{1,200}>|!\[[^\]\n]*\]\([^)\s]*\)|\]\([^)\s]*\)")
@@ -73,11 +79,11 @@ def normal_code(label: str | None, codes: dict[str, str]) -> str | None:
 
 def reduced(sentence: str) -> str:
     """Letters of a sentence without links that carry language: no digits, marks, nor names inside the sentence."""
-    words = _MARKS.sub(" ", sentence).split()
+    words = (sentence.translate(_ASCII) if sentence.isascii() else _MARKS.sub(" ", sentence)).split()
     if not words:
         return ""
-    if any(w.islower() for w in words):
-        words = [w for k, w in enumerate(words) if k == 0 or not w[0].isupper()]
+    if any(map(str.islower, words)):
+        words[1:] = [w for w in words[1:] if not w[0].isupper()]
     return " ".join(words).lower()
 
 
@@ -87,14 +93,14 @@ def sentences_of(text: str) -> list[tuple[str, int]]:
     if "<" in text or "](" in text:
         text = _TAG.sub(" ", text)
     if any(x in text for x in _SIGNS):
-        text = _NOISE.sub(" ", text)
+        text = "\n".join(_NOISE.sub(" ", x) if any(y in x for y in _SIGNS) else x for x in text.split("\n"))
     odd = [c for c in set(text) if _symbol(c)]
     items = False
     for line in text.split("\n"):
         solid = _solid(line)
         if not solid:
             continue
-        words = _WORD.findall(line.lower())
+        words = (_ASCII_WORD if line.isascii() else _WORD).findall(line.lower())
         if not words or is_junk(line, words, sum(map(line.count, odd)) if odd else 0, solid):
             continue
         if len(words) <= ITEM_WORDS and line.isascii() and not _ENDS.search(line):
@@ -107,15 +113,17 @@ def sentences_of(text: str) -> list[tuple[str, int]]:
             continue
         items = False
         before = ""
-        cut = _CUT.sub("\\g<0>\0", line)
         if _THAI.search(line):
-            cut = _UNMARKED.sub("\0", cut)
-        for s in cut.split("\0"):
+            parts = _UNMARKED.sub("\0", _CUT.sub("\\g<0>\0", line)).split("\0")
+        else:
+            ends = [m.end() for m in _CUT.finditer(line)]
+            parts = [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)])] if ends else [line]
+        for s in parts:
             s = s.rstrip()
             if not s:
                 continue
             whole = f"{before} {s}" if before else s
-            end = _LAST.search(s) if s[-1] == "." else None
+            end = _LAST.search(s.rsplit(None, 1)[-1]) if s[-1] == "." else None
             if end and (len(end[1]) == 1 or end[1].isdigit() or end[1].lower() in _OPEN):
                 before = whole
                 continue
@@ -207,16 +215,57 @@ class Network:
             states[t] = h
         return states, saved
 
+    def _states(self, d: str, x: np.ndarray, first: list[int]) -> np.ndarray:
+        """States of _run() without a mask: at each step only the rows from first on, those that have a byte there, take part.
+
+        Gates are kept apart, so that all arrays are contiguous; the halves of the logistic function are in the weights.
+        """
+        h_, u = self.h, self.w[f"u{d}"]
+        wz, wr, wg = (np.ascontiguousarray(w) for w in np.split(self.w[f"x{d}"] * np.repeat(np.float32([0.5, 0.5, 1]), h_), 3, axis=1))
+        uz, ur = (np.ascontiguousarray(w) for w in np.split(0.5 * u, 2, axis=1))
+        v = 0.5 * self.w[f"v{d}"]
+        t_, n = x.shape
+        states, all_h = np.zeros((t_, n, h_), np.float32), np.zeros((n, h_), np.float32)
+        for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
+            at, h = x[t, first[t] :], all_h[first[t] :]
+            r = wr.take(at, axis=0)
+            r += h @ ur
+            np.tanh(r, out=r)
+            r += 1.0
+            r *= h
+            g = wg.take(at, axis=0)
+            g += r @ v
+            np.tanh(g, out=g)
+            z = wz.take(at, axis=0)
+            z += h @ uz
+            np.tanh(z, out=z)
+            z += 1.0
+            h -= g
+            h *= z
+            h *= 0.5
+            h += g
+            states[t, first[t] :] = h
+        return states
+
     def forward(self, x: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        """Log probabilities (rows, classes) pooled over the positions that keep marks."""
-        both = [self._run(d, x, keep, False)[0] for d in "fb"]
-        weight = keep.sum(axis=0)[:, None] + 1e-6
-        out = np.zeros((x.shape[1], self.c), np.float32)
-        for t in range(x.shape[0]):
-            logit = both[0][t] @ self.w["o"][: self.h] + both[1][t] @ self.w["o"][self.h :] + self.w["ob"]
-            logit -= logit.max(axis=1, keepdims=True)
-            out += (logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))) * keep[t][:, None]
-        return out / weight
+        """Log probabilities (rows, classes) pooled over the positions that keep marks, the first ones of each row."""
+        sizes = keep.sum(axis=0).astype(np.int64)
+        order = np.argsort(sizes, kind="stable")
+        x = np.ascontiguousarray(x[:, order])
+        first = np.searchsorted(sizes[order], np.arange(len(x)), side="right").tolist()
+        both = [self._states(d, x, first) for d in "fb"]
+        of, ob = (np.ascontiguousarray(w.T) for w in np.split(self.w["o"], 2))
+        bias, total = self.w["ob"][:, None], np.zeros((self.c, x.shape[1]), np.float32)
+        for t, a in enumerate(first):
+            logit = of @ both[0][t, a:].T
+            logit += ob @ both[1][t, a:].T
+            logit += bias
+            logit -= logit.max(axis=0)
+            total[:, a:] += logit
+            total[:, a:] -= np.log(np.exp(logit, out=logit).sum(axis=0))
+        out = np.empty((x.shape[1], self.c), np.float32)
+        out[order] = total.T
+        return out / (sizes[:, None].astype(np.float32) + np.float32(1e-6))
 
     def gradients(self, x: np.ndarray, keep: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients by backpropagation through time; y (rows) is the class of all positions of a row."""
@@ -298,8 +347,8 @@ def classify(net: Network, sentences: list[str]) -> np.ndarray:
     """Pooled log probabilities (sentences, classes); equal sentences run once, those of like length together."""
     if not sentences:
         return np.zeros((0, net.c), np.float32)
-    unique, back = np.unique(np.array(sentences, object), return_inverse=True)
-    data = [s.encode() for s in unique]
+    number = {s: k for k, s in enumerate(dict.fromkeys(sentences))}
+    data = [s.encode() for s in number]
     order = sorted(range(len(data)), key=lambda k: len(data[k]))
     out = np.zeros((len(data), net.c), np.float32)
     at = 0
@@ -309,7 +358,7 @@ def classify(net: Network, sentences: list[str]) -> np.ndarray:
         part = order[at : at + size]
         out[part] = net.forward(*as_rows([data[k] for k in part]))
         at += size
-    return out[back]
+    return out[[number[s] for s in sentences]]
 
 
 def stretches(logp: np.ndarray, sizes: list[int]) -> list[int]:
@@ -398,14 +447,15 @@ def find_languages(posts: DataFrame, lang_codes: DataFrame, text: str = "body_cl
         for part in parts:
             each = [sentences_of(t) for t in part["__text"]]
             logp = classify(net, [s for ss in each for s, _ in ss])
+            sure, likeliest = np.exp(logp), logp.argmax(axis=1).tolist()
             rows, at = [], 0
             for author, permlink, label, ss in zip(part["author"], part["permlink"], part["dominant_lang"], each):
-                own = logp[at : at + len(ss)]
-                at += len(ss)
+                begin, at = at, at + len(ss)
                 if not ss:
                     continue
-                path = stretches(own, [len(s.encode()) - s.count(" ") for s, _ in ss])
-                sure = np.exp(own)
+                path = likeliest[begin:at]
+                if path.count(path[0]) < len(path):
+                    path = stretches(logp[begin:at], [len(s.encode()) - s.count(" ") for s, _ in ss])
                 sizes: Counter = Counter()
                 runs: list[list] = []
                 for k, ((_, n), c) in enumerate(zip(ss, path)):
@@ -413,7 +463,7 @@ def find_languages(posts: DataFrame, lang_codes: DataFrame, text: str = "body_cl
                     if not runs or runs[-1][0] != c:
                         runs.append([c, 0, 0.0])
                     runs[-1][1] += n
-                    runs[-1][2] += n * float(sure[k, c])
+                    runs[-1][2] += n * float(sure[begin + k, c])
                 main = max(sorted(sizes), key=lambda c: sizes[c])
                 total = sum(r[2] for r in runs if r[0] == main)
                 right = normal_code(label, codes) == langs[main]

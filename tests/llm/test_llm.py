@@ -542,6 +542,34 @@ def test_network_in_use_has_all_its_units():
     assert net.w["uf"].shape == net.w["ub"].shape == (24, 48) and net.w["o"].shape == (48, 3)
 
 
+def test_network_runs_each_byte_once(monkeypatch):
+    """Pooled probabilities are those of the masked run of training, without any work on padding."""
+    net = languages.Network(5)
+    x, keep = languages.as_rows([b"a", b"longer text than the others", b"bc", b"some words", b"xy z"])
+    both = np.concatenate([net._run(d, x, keep, False)[0] for d in "fb"], axis=2)
+    logit = both @ net.w["o"] + net.w["ob"]
+    logp = logit - np.log(np.exp(logit).sum(axis=2, keepdims=True))
+    want = (logp * keep[:, :, None]).sum(axis=0) / keep.sum(axis=0)[:, None]
+    done, tanh = [], np.tanh
+    monkeypatch.setattr(np, "tanh", lambda a, **kw: done.append(a.size) or tanh(a, **kw))
+    got = net.forward(x, keep)
+    assert got == pytest.approx(want, abs=1e-5) and got.dtype == np.float32
+    assert sum(done) == 2 * 3 * net.h * keep.sum()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aZbéé๎ก'’-. !?…。」\"1_ \t😀☀", max_size=40))
+def test_patterns_of_sentences_as_plainly_written(text):
+    cut = re.compile(r"[.!?…][\"”»’)\]]*\s+|[。！？।؟۔][」』”]*|(?<=[^\W\d_A-Z])[.!?](?=[A-ZÀ-Þ])|[\U0001f000-\U0001faff☀-➿️]\s+")
+    assert [m.span() for m in languages._CUT.finditer(text)] == [m.span() for m in cut.finditer(text)]
+    plain = "".join(c for c in text.lower() if c.isascii())
+    assert languages._ASCII_WORD.findall(plain) == quality._WORD.findall(plain)
+    assert plain.translate(languages._ASCII) == languages._MARKS.sub(" ", plain)
+    if (s := f"{text.strip()}.".strip())[-1] == ".":
+        whole, last = languages._LAST.search(s), languages._LAST.search(s.rsplit(None, 1)[-1])
+        assert (whole and whole[1]) == (last and last[1])
+
+
 def test_language_labels_in_other_notations():
     codes = {"en": "en", "eng": "en", "english": "en", "de": "de", "deu": "de"}
     assert [languages.normal_code(x, codes) for x in ("EN", "en-US", "eng", " English ", "ger", "und", "", None)] == ["en", "en", "en", "en", "de", None, None, None]
